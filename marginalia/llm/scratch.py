@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,7 +64,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """Row ranges of at most `limit` bytes of text; a longer text stands alone."""
     if not len(texts):
         return
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
     at = 0
     while at < len(texts):
         before = ends[at - 1] if at else 0
