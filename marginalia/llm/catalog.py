@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dups, quality, suffix_dedup, token_counts
+from . import decontaminate, near_dups, pieces, quality, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": decontaminate.op1_suffix_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_piece_encoding": pieces.op6_piece_encoding,
     "op9_bagminhash_near_dedup": near_dups.op9_bagminhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
