@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dups, pieces, quality, suffix_dedup, token_counts
+from . import decontaminate, kd_shards, near_dups, pieces, quality, suffix_dedup, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": decontaminate.op1_suffix_decontamination,
+    "op2_segment_topk": topk.op2_segment_topk,
+    "op3_kd_tree_sharding": kd_shards.op3_kd_tree_sharding,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_piece_encoding": pieces.op6_piece_encoding,
@@ -17,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_decontamination": decontaminate.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_decontamination": decontaminate.OP1_SQL, "op2_segment_topk": topk.OP2_SQL}
