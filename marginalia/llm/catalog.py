@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kd_shards, near_dups, pieces, quality, suffix_dedup, token_counts, topk
+from . import decontaminate, kd_shards, language, near_dups, pieces, pseudo_lm, quality, suffix_dedup, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": decontaminate.op1_suffix_decontamination,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_piece_encoding": pieces.op6_piece_encoding,
+    "op7_masked_pseudo_likelihood": pseudo_lm.op7_masked_pseudo_likelihood,
+    "op8_language_fusion": language.op8_language_fusion,
     "op9_bagminhash_near_dedup": near_dups.op9_bagminhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
