@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -37,8 +37,9 @@ from .scratch import column, materialize, mix, pack, raw_bytes, slices, unpack
 from .words import powers
 
 LENGTH, WINDOW, GRAM = 400, 256, 16
-#: Different contexts of a core that an index shard takes; bytes of contexts in a shard (on average) and in a batch.
-HOT, SHARD_BYTES, BATCH_BYTES = 2000, 16 << 20, 1 << 20
+#: Bytes of contexts in an index shard (on average) and in a batch; different contexts of one core that fill a shard.
+SHARD_BYTES, BATCH_BYTES = 16 << 20, 1 << 20
+HOT = SHARD_BYTES // (LENGTH + WINDOW)
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
