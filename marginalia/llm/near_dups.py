@@ -9,8 +9,8 @@ as soon as its next point is later than the latest slot of its text, which makes
 Signatures are cut into BANDS bands of ROWS rows. Equal texts stand for one node from the start. In each bucket of a
 band all members are compared with one leader (links are verified on the multisets of whole texts), linked nodes are
 merged, then a second leader, the node with most links so far, is tried in the buckets whose members are not yet one
-class. What is still apart in a bucket is compared pair by pair, only across classes, so no link is lost to a cap. At
-similarity 0.8 a pair shares no band with probability 3e-6.
+class. Nodes of buckets that are still apart are joined on their rarest shingles (an exact prefix filter), only across
+classes, so no link is lost to a cap. At similarity 0.8 a pair shares no band with probability 3e-6.
 
 Defined results: equal texts are one class whatever their words; null texts are a class each row; a text without words
 is near to equal texts only; a text of one to four words has one shingle; rows that share a doc_id are one class, and a
@@ -95,12 +95,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(part), 1 << 12):
                 some = part.slice(lo, 1 << 12)
                 of, shingle, weight = bag(column(some, "text"))
-                keys = band_keys(signatures(of, shingle, weight, len(some)))
+                won = signatures(of, shingle, weight, len(some))
+                keys = band_keys(won)
                 full = np.zeros(len(some), bool)
                 full[of] = True
                 offsets = np.concatenate([[0], np.cumsum(full * BANDS)])
                 bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([column(some, "node"), column(some, "twin"), bands], names=["node", "twin", "bands"])
+                sketch = pa.array([row.tobytes() for row in (won >> np.uint64(8)).astype(np.uint8)], pa.binary())
+                size = pa.array(np.bincount(of, weight, len(some)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([column(some, "node"), column(some, "twin"), size, sketch, bands], names=["node", "twin", "size", "sketch", "bands"])
 
 
 def _verify(similarity: float) -> object:
@@ -135,14 +138,68 @@ def _verify(similarity: float) -> object:
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle multisets are at least so similar. a, of which there are few, is looked up
-    last; a popular a is a skewed join side, which adaptive execution splits."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+def _agree(least: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(len(batch), SLOTS) for c in ("a_sketch", "b_sketch"))
+                keep = (a == b).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle multisets are at least so similar.
+
+    Pairs of too different sizes, and those whose signatures agree in fewer slots than a similar pair does but once in
+    10 ** 9 times, go before their texts are fetched. A popular a is a skewed join side, which adaptive execution splits.
+    """
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.where((F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")))
+    least = int(SLOTS * similarity - 6 * (SLOTS * similarity * (1 - similarity)) ** 0.5)
+    likely = materialize(both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_agree(least), "a long, b long"))
+    with_b = likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
     return materialize(both.mapInArrow(_verify(similarity), "a long, b long"))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-th time that a text has a shingle is a token of its own."""
+    for batch in batches:
+        for at, to in slices(column(batch, "text")):
+            part = batch.slice(at, to - at)
+            of, shingle, weight = bag(column(part, "text"))
+            time = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            token = mix(np.repeat(shingle, weight) + _GOLD * time.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([column(part, "node").take(pa.array(np.repeat(of, weight))), pa.array(token.view(np.int64))], names=["node", "token"])
+
+
+def rare_pairs(apart: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of nodes of different classes that can be so similar: those that share one of their rarest tokens.
+
+    Of n tokens two similar texts share so many that one is among the n - ceil(similarity * n) + 1 rarest of each. What
+    is common to many texts, such as a passage that fills their buckets, is never among those. No pair is lost.
+    """
+    nodes = materialize(apart.select("node", "label").distinct())
+    tokens = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(_tokens, "node long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(common, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("all"))
+    size = F.size("all")
+    rare = ordered.select("node", size.alias("size"), F.posexplode(F.slice("all", 1, size - F.ceil(size * similarity).cast("int") + 1)).alias("at", "t")).where("t.df > 1")
+    rare = materialize(rare.join(nodes, "node").select("node", "label", "size", "at", "t.token"))
+    # of a token's holders those of its main class meet only the others, never each other
+    held = rare.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    few = rare.join(held, "token").where("label != main").select("token", "main", "label", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+    all_of = rare.select("token", F.col("node").alias("b"), F.col("label").alias("other"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
+    apart_now = (F.col("label") < F.col("other")) | ((F.col("label") > F.col("other")) & (F.col("other") == F.col("main")))
+    # the first token that two texts share leaves room for enough others after it
+    room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    met = few.join(all_of, "token").where(apart_now & room & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) of every node that has an edge; label: the least node that it is connected with.
 
@@ -174,28 +231,27 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(text_key, class_id) of every distinct text, class_id being the least id of its class."""
     docs = with_columns_of(docs, id=id_col, text=text_col).where(F.col("text").isNotNull())
     docs = docs.select(F.coalesce(F.col("id").cast("long"), F.lit(_NULL_ID)).alias("node"), "text", F.md5("text").alias("twin"))
-    signed = materialize(docs.mapInArrow(_sign, "node long, twin string, bands array<long>"))
+    signed = materialize(docs.mapInArrow(_sign, "node long, twin string, size long, sketch binary, bands array<long>"))
     texts_of = materialize(signed.groupBy("twin").agg(F.min("node").alias("rep")))
     reps = signed.join(texts_of.select(F.col("rep").alias("node"), "twin"), ["node", "twin"], "left_semi").select("node", F.explode("bands").alias("band"))
     leaders = reps.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     buckets = materialize(reps.join(leaders, "band").select("band", "a", "node"))
     involved = buckets.select("node").distinct().join(texts_of.select(F.col("rep").alias("node"), "twin"), "node")
+    sketches = materialize(signed.join(involved, ["node", "twin"], "left_semi").dropDuplicates(["node", "twin"]).select("node", "size", "sketch"))
     texts = materialize(docs.join(involved, ["node", "twin"], "left_semi").dropDuplicates(["node", "twin"]).select("node", "text"))
 
-    links = [verified(buckets.where("a != node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)]
+    links = [verified(buckets.where("a != node").select("a", F.col("node").alias("b")).distinct(), sketches, texts, similarity)]
     labels = components(links[0])
     apart = _apart(buckets.select("band", "node"), labels)
     if not apart.isEmpty():
         degree = links[0].select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
         hub = apart.join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "label"), F.struct(F.coalesce("n", F.lit(0)), -F.col("node"))).alias("hub"))
         pairs = apart.join(hub, "band").where("label != hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        links.append(verified(pairs, texts, similarity))
+        links.append(verified(pairs, sketches, texts, similarity))
         labels = components(reduce(DataFrame.unionByName, links))
         apart = _apart(apart.select("band", "node"), labels)
     if not apart.isEmpty():
-        other = apart.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-        pairs = apart.withColumnRenamed("node", "a").join(other, "band").where("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links.append(verified(pairs, texts, similarity))
+        links.append(verified(rare_pairs(apart, texts, similarity), sketches, texts, similarity))
     # texts that share an id are linked as well
     known = signed.select("node", "twin").join(texts_of, "twin").select("node", "rep")
     shared = known.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("node", "a")
