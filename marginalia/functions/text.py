@@ -118,7 +118,8 @@ def bib_titles(c: Column) -> Column:
 
 def _cut_pattern() -> str:
     names = "|".join(a.replace(".", r"\.") for a in L.ABBREVIATIONS)
-    return rf"(?<!(?<![A-Za-z.])\.{{0,8}}(?i:{names})\.{{0,8}})([.!?])(?=[ \"')\]]|$)"
+    # the stop and what follows are tested first: looking back is dear and so happens at few places
+    return rf"([.!?])(?=[ \"')\]]|$)(?<!(?<![A-Za-z.])\.{{0,8}}(?i:{names})\.{{0,8}}[.!?])"
 
 
 def split_sentences(c: Column) -> Column:
@@ -139,19 +140,24 @@ def plain_tokens(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0), F.array().cast("array<string>"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once even where f uses it inside of lambdas."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def ngrams(tok: Column, n: int, by: str) -> Column:
     return F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(1), F.size(tok) - (n - 1)), lambda i: F.array_join(F.slice(tok, i, n), by))).otherwise(F.array().cast("array<string>"))
 
 
 def features(tok: Column) -> Column:
     """Unigrams, bigrams and trigrams of a token list, with repeats."""
-    return F.concat(tok, ngrams(tok, 2, "_"), ngrams(tok, 3, "_"))
+    return let(tok, lambda t: F.concat(t, ngrams(t, 2, "_"), ngrams(t, 3, "_")))
 
 
 def phrases(c: Column, low: int, high: int, min_tokens: int) -> Column:
     """Distinct n-grams of the plain tokens, low <= n <= high; none of fewer than min_tokens tokens."""
-    tok = plain_tokens(c)
-    return F.when(F.size(tok) >= min_tokens, F.array_distinct(F.concat(*[ngrams(tok, n, " ") for n in range(low, high + 1)]))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(plain_tokens(c), lambda tok: F.when(F.size(tok) >= min_tokens, F.array_distinct(F.concat(*[ngrams(tok, n, " ") for n in range(low, high + 1)]))).otherwise(none))
 
 
 def clamp(x: Column) -> Column:
@@ -189,10 +195,12 @@ def boilerplate_discount(c: Column, tok: Column) -> Column:
     return F.least(F.lit(0.35), hits.cast("double") / F.greatest(F.size(tok), F.lit(1)) * 4)
 
 
-def lexical_overlap(a: Column, b: Column, min_tokens: int) -> Column:
-    """Jaccard similarity of the distinct tokens of over two characters of two token lists."""
-    long = lambda t: F.array_distinct(F.filter(t, lambda x: F.length(x) > 2))
-    x, y = long(a), long(b)
+def long_tokens(tok: Column) -> Column:
+    return F.array_distinct(F.filter(tok, lambda x: F.length(x) > 2))
+
+
+def lexical_overlap(x: Column, y: Column, min_tokens: int) -> Column:
+    """Jaccard similarity of two lists of distinct tokens; 0 if either has too few."""
     enough = (F.size(x) >= min_tokens) & (F.size(y) >= min_tokens)
     return F.when(enough, F.size(F.array_intersect(x, y)).cast("double") / F.greatest(F.size(F.array_union(x, y)), F.lit(1))).otherwise(0.0)
 

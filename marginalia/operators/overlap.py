@@ -16,13 +16,12 @@ def match_evidence(rows: DataFrame, key: str, index: CorpusIndex, config: AuditC
     phrases: shared n-grams, longest first, equally long ones alphabetically, at most SHOWN_PHRASES; rare looks at all.
     """
     low, high = config.phrase_ngrams
+    parts = lambda c: {"long": X.long_tokens(X.tokens(F.col(c))), "grams": X.phrases(F.col(c), low, high, config.min_tokens_for_overlap)}
+    theirs = index.sentences.withColumnRenamed("text", "matched_text")
+    theirs = theirs.withColumns({f"c_{k}": v for k, v in parts("matched_text").items()})
     found = index.top_matches(rows, key, config.max_matches)
-    pairs = found.join(index.sentences.withColumnRenamed("text", "matched_text"), "corpus_idx").join(rows.select(key, "text"), key)
-    grams = lambda c: X.phrases(F.col(c), low, high, config.min_tokens_for_overlap)
-    pairs = pairs.withColumns({
-        "lexical": X.lexical_overlap(X.tokens(F.col("text")), X.tokens(F.col("matched_text")), config.min_tokens_for_overlap),
-        "shared": F.array_intersect(grams("text"), grams("matched_text")),
-    })
+    pairs = found.join(theirs, "corpus_idx").join(rows.select(key, "text").withColumns(parts("text")), key)
+    pairs = pairs.withColumns({"lexical": X.lexical_overlap(F.col("long"), F.col("c_long"), config.min_tokens_for_overlap), "shared": F.array_intersect("grams", "c_grams")}).drop("long", "c_long", "grams", "c_grams")
     rarity = 0.5 * (1.0 - F.least(F.lit(1.0), F.coalesce("df", F.lit(1)) / max(index.size, 1)))
     length = 0.5 * F.least(F.lit(1.0), F.size(F.split("phrase", " ")) / 5.0)
     rare = pairs.select(key, "rank", F.explode("shared").alias("phrase")).join(index.phrases, "phrase", "left").groupBy(key, "rank").agg(F.max(rarity + length).alias("rare"))
