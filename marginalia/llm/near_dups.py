@@ -20,7 +20,6 @@ null doc_id counts as the smallest long; empty tables give empty results; furthe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +219,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: only the classes that the links join are looked at again, not their members."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    ends = ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a != b").distinct()
+    top = components(ends)
+    moved = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(moved.unionByName(top.join(labels, "node", "left_anti").select("node", "label")))
+
+
 def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, label) of the buckets whose members are not yet one class."""
     now = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
@@ -240,23 +249,21 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sketches = materialize(signed.join(involved, ["node", "twin"], "left_semi").dropDuplicates(["node", "twin"]).select("node", "size", "sketch"))
     texts = materialize(docs.join(involved, ["node", "twin"], "left_semi").dropDuplicates(["node", "twin"]).select("node", "text"))
 
-    links = [verified(buckets.where("a != node").select("a", F.col("node").alias("b")).distinct(), sketches, texts, similarity)]
-    labels = components(links[0])
+    links = verified(buckets.where("a != node").select("a", F.col("node").alias("b")).distinct(), sketches, texts, similarity)
+    labels = components(links)
     apart = _apart(buckets.select("band", "node"), labels)
     if not apart.isEmpty():
-        degree = links[0].select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
         hub = apart.join(degree, "node", "left").groupBy("band").agg(F.max_by(F.struct("node", "label"), F.struct(F.coalesce("n", F.lit(0)), -F.col("node"))).alias("hub"))
         pairs = apart.join(hub, "band").where("label != hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        links.append(verified(pairs, sketches, texts, similarity))
-        labels = components(reduce(DataFrame.unionByName, links))
+        labels = extended(labels, verified(pairs, sketches, texts, similarity))
         apart = _apart(apart.select("band", "node"), labels)
     if not apart.isEmpty():
-        links.append(verified(rare_pairs(apart, texts, similarity), sketches, texts, similarity))
+        labels = extended(labels, verified(rare_pairs(apart, texts, similarity), sketches, texts, similarity))
     # texts that share an id are linked as well
     known = signed.select("node", "twin").join(texts_of, "twin").select("node", "rep")
     shared = known.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("node", "a")
-    links.append(known.join(shared, "node").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
-    labels = components(reduce(DataFrame.unionByName, links))
+    labels = extended(labels, known.join(shared, "node").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
     return texts_of.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("twin").alias("text_key"), F.coalesce("label", "rep").alias("class_id"))
 
 
