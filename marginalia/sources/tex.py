@@ -106,7 +106,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     found = blocks(docs).withColumn("source", F.regexp_extract_all("raw", F.lit(r"\[\[SOURCE:(.+?)\]\]"), 1))
     found = found.withColumn("raw", X.strip(F.regexp_replace("raw", r"\[\[SOURCE:.+?\]\]", "")))
     found = found.withColumn("source_here", F.when(F.size("source") > 0, F.trim(F.element_at("source", -1))))
-    found = found.withColumn("clean", X.clean_tex(F.col("raw")))
+    found = found.withColumn("clean", X.let(F.col("raw"), X.clean_tex))  # apart from generated code, which it would overgrow
     found = found.withColumn("titles", F.arrays_zip(F.regexp_extract_all("clean", F.lit(X.TITLE), 1).alias("kind"), F.regexp_extract_all("clean", F.lit(X.TITLE), 2).alias("title")))
     found = found.withColumn("clean", F.when(F.size("titles") > 0, X.strip(F.regexp_replace("clean", X.TITLE, ""))).otherwise(F.col("clean")))
     # the last section of a block, and the last subsection after it, carry on; a section ends the subsection
