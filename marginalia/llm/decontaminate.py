@@ -23,7 +23,7 @@ from .scratch import column, materialize, mix, pack, slices, unpack, with_column
 from .words import words
 
 #: Test text that is sent to the executors at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _HITS = "item:string,item_null:boolean,at:long,words:long,item_at:long"
 
 

@@ -80,7 +80,7 @@ class Model:
         """Of each text, under equal priors."""
         bucket, of = trigrams(texts)
         ll = np.column_stack([np.bincount(of, self.log[bucket, k], len(texts)) for k in range(len(self.langs))]) if self.langs else np.zeros((len(texts), 0))
-        return TEMPER * (ll - ll.max(axis=1, keepdims=True, initial=-np.inf)) if self.langs else ll
+        return TEMPER * (ll - ll.max(axis=1, keepdims=True)) if ll.size else ll.astype(float)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:

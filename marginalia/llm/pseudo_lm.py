@@ -31,8 +31,8 @@ from .words import words
 
 WINDOW, CLASSES, WIDTH = 2, 32, 16
 FREQUENT, BUCKETS = 1 << 16, 1 << 18
-#: Rows of the driver-side sample; words of a training step; learning rates there and on the partitions.
-SAMPLE_ROWS, STEP, FIRST_RATE, RATE = 2000, 1024, 4.0, 1.0
+#: Rows of the driver-side sample; words of a training step; learning rates there and on the partitions; largest weight.
+SAMPLE_ROWS, STEP, FIRST_RATE, RATE, BOUND = 2000, 1024, 4.0, 1.0, 8.0
 _FIELDS = (("tables", (2 * WINDOW, CLASSES + 1, WIDTH)), ("hidden", (WIDTH,)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES,)))
 
 
@@ -104,6 +104,7 @@ class Network:
             one[rows, context[q]] = 1
             self.tables[q] -= one.T @ back
             one[rows, context[q]] = 0
+        np.clip(self.flat, -BOUND, BOUND, out=self.flat)  # odd texts cannot make it run away
 
 
 def contexts(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -3,13 +3,13 @@
 A line's potentials come from tables over binned figures of the line itself, of the line before and of the line after;
 the chain adds what it costs to change or keep the label. Forward-backward gives each line's marginal probability of
 good, and their mean weighted by line length is the score of the text. Labels exist for documents only, so in training
-all lines of a document carry its label.
+all lines of a document carry its label. The mean is brought to the scale of the labels by a two-parameter logistic.
 
 Fitting uses at most `sample_rows` labelled rows, taken by a hash over all of them. Everything else covers whole texts
 and all rows, in one map-only pass. Neither labels nor lang, source or id enter a score.
 
 Defined results: a null text counts as empty, and an empty text is one empty line and gets a score; without any
-labelled row the score is 0.5; repeated rows are scored each; null labels are ignored; further columns are ignored.
+labelled row the score is 0.5; repeated rows are scored each; null labels are ignored, of rows that share an id the least text is learnt from; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -218,8 +218,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     picked = with_columns_of(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)")
     picked = picked.select("id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
     texts = with_columns_of(docs, id=id_col, text=text_col)
-    found = texts.join(F.broadcast(picked), "id").select("id", "label", "text")  # at most sample_rows small rows
-    rows = sorted(found.mapInArrow(_figures, f"id {found.schema['id'].dataType.simpleString()}, label int, x binary").collect(), key=lambda r: (r.id, r.label, r.x))[: 4 * sample_rows]
+    found = texts.join(F.broadcast(picked.distinct()), "id")  # at most sample_rows small rows
+    found = found.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "label", "text")
+    rows = sorted(found.mapInArrow(_figures, f"id {found.schema['id'].dataType.simpleString()}, label int, x binary").collect(), key=lambda r: (r.id, r.label))
     if not rows:
         return Chain(np.zeros((len(FIGURES), BINS - 1)))
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, len(FIGURES)) for r in rows]
