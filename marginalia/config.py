@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class AuditConfig:
-    """Thresholds and weights; the defaults are those the published sample was made with."""
+    """Thresholds and weights; lengths are in characters."""
 
     max_matches: int = 3
     min_sentence_chars: int = 25

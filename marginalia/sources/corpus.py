@@ -19,17 +19,27 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.select("source_path", label.alias("source_label"), F.when(suffix == "tex", X.clean_tex(F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
-def corpus_sentences(texts: DataFrame) -> DataFrame:
-    """(corpus_idx, source_path, source_label, text): sentences of MIN_CORPUS_CHARS or more, numbered by path and place.
+def numbered(sizes: DataFrame, ranges: int = 256, small: int = 20_000) -> DataFrame:
+    """Adds first: how many sentences the sources before have, of (source_path, n). Many sources are cut into ranges of
+    paths, so that each task orders one range and only the ranges' sums meet in one place."""
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    count = sizes.count()
+    if count <= small:
+        return sizes.withColumn("first", before(W.partitionBy(F.lit(0)).orderBy("source_path"))).drop("n")
+    some = sorted(r.source_path for r in sizes.sample(False, min(1.0, 8.0 * ranges / count), 3).select("source_path").limit(16 * ranges).toLocalIterator())
+    cuts = F.array(*[F.lit(p) for p in some[:: max(1, len(some) // ranges)]])
+    sizes = sizes.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("source_path"))))
+    sums = sizes.groupBy("range").agg(F.sum("n").alias("n")).withColumn("base", before(W.partitionBy(F.lit(0)).orderBy("range"))).drop("n")
+    inside = sizes.withColumn("inside", before(W.partitionBy("range").orderBy("source_path")))
+    return inside.join(sums, "range").select("source_path", (F.col("base") + F.col("inside")).alias("first"))
+
 
-    Numbers come from counts per source before it, so that no task has to see the whole corpus in order.
-    """
+def corpus_sentences(texts: DataFrame) -> DataFrame:
+    """(corpus_idx, source_path, source_label, text): sentences of MIN_CORPUS_CHARS or more, numbered by path and place."""
     rows = texts.select("source_path", "source_label", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "text")).where(F.length("text") >= MIN_CORPUS_CHARS)
-    own = W.partitionBy("source_path").orderBy("pos")
-    rows = rows.withColumn("at", F.row_number().over(own) - 1)
-    sizes = rows.groupBy("source_path").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("first", F.coalesce(F.sum("n").over(W.orderBy("source_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return rows.join(before, "source_path").select((F.col("first") + F.col("at")).alias("corpus_idx"), "source_path", "source_label", "text")
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("source_path").orderBy("pos")) - 1)
+    first = numbered(rows.groupBy("source_path").agg(F.count("*").alias("n")))
+    return rows.join(first, "source_path").select((F.col("first") + F.col("at")).alias("corpus_idx"), "source_path", "source_label", "text")
 
 
 def bib_titles(files: DataFrame) -> DataFrame:

@@ -34,6 +34,19 @@ def write_json(audit: DataFrame, summary: DataFrame, path: str) -> None:
     nested(audit, summary).write.json(path)
 
 
+def review_payload(docs: DataFrame, **relations: DataFrame) -> DataFrame:
+    """(doc_id, payload): for each of docs one JSON text with all its relations, each a list in the relation's own order
+    (by `position`, `paragraph_index` or `ord`, whichever it has)."""
+    out = docs.select("doc_id")
+    for name, rows in relations.items():
+        order = next((c for c in ("position", "ord", "paragraph_index") if c in rows.columns), None)
+        item = F.struct(*[c for c in rows.columns if c != "doc_id"])
+        items = F.transform(F.array_sort(F.collect_list(F.struct((F.col(order) if order else F.lit(0)).alias("o"), F.to_json(item).alias("v")))), lambda s: s["v"])
+        out = out.join(rows.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias(name)), "doc_id", "left")
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(name, F.lit("[]"))) for name in relations]
+    return out.select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("payload"))
+
+
 PAGE = "<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><table border=1><tr><th>Sentence<th>Lines<th>Overlap<th>Rhetoric<th>Why<th>Text</tr>{rows}</table><script type=application/json id=payload>{data}</script>"
 
 

@@ -101,3 +101,24 @@ def test_corpus_folder(spark, tmp_path):
 def test_titles():
     assert sinks.title_of("a/my_draft-paper.tex") == "My Draft Paper"
     assert sinks.title_of(".tex") == "Untitled Review"
+
+
+def test_numbering_in_ranges_is_the_same(spark):
+    rows = spark.createDataFrame([(f"p{k * 7919 % 1000:04d}", k % 5 + 1) for k in range(1000)], "source_path string, n long").repartition(5)
+    once = sorted(map(tuple, corpus.numbered(rows).collect()))
+    assert sorted(map(tuple, corpus.numbered(rows, ranges=16, small=10).collect())) == once and once[0][1] == 0
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from marginalia.__main__ import main
+
+    (tmp_path / "in" / "paper").mkdir(parents=True)
+    (tmp_path / "in" / "paper" / "main.tex").write_text("\\begin{document}\\section{A}\nThis sentence is long enough to be kept here.\\end{document}")
+    (tmp_path / "lit").mkdir()
+    (tmp_path / "lit" / "x.txt").write_text("This sentence is long enough to be kept here.")
+    main([str(tmp_path / "in"), "--corpus", str(tmp_path / "lit"), "--out", str(tmp_path / "out")])
+    (row,) = spark.read.parquet(str(tmp_path / "out" / "review")).collect()
+    found = json.loads(row.payload)
+    assert row.doc_id == "paper" and found["rows"][0]["matches"][0]["source_label"] == "x" and found["outline"][0]["label"] == "A" and len(found["spans"]) == 1
