@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, near_dups, pieces, quality, suffix_dedup
-from marginalia.llm.scratch import materialize
+from marginalia.llm.scratch import materialize, small_batches
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,19 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", keep_good),
-    ("near dedup", near_dedup),
-    ("suffix dedup", cut_repeats),
-    ("decontamination", remove_contaminated),
-    ("piece encoding", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _prepared(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _prepared(keep_good)),
+    ("near dedup", _prepared(near_dedup)),
+    ("suffix dedup", _prepared(cut_repeats)),
+    ("decontamination", _prepared(remove_contaminated)),
+    ("piece encoding", _prepared(encode)),
 ]
 
 #: SQL can express neither the classifier nor the encoder; tests hold each stage against brute force.

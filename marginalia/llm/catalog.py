@@ -7,6 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, kd_shards, language, near_dups, pieces, pseudo_lm, quality, suffix_dedup, token_counts, topk
+from .scratch import small_batches
+
+
+
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": decontaminate.op1_suffix_decontamination,
@@ -20,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bagminhash_near_dedup": near_dups.op9_bagminhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
+QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {"op1_suffix_decontamination": decontaminate.OP1_SQL, "op2_segment_topk": topk.OP2_SQL}

@@ -40,10 +40,18 @@ def table_path(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, is computed once."""
     path = table_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
+    """Sets Arrow batches to a few MB where the session has Spark's default: a Python worker then holds less at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+    return spark
+
+
 def with_columns_of(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under fixed names: extra columns with clashing names never reach an operator."""
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
