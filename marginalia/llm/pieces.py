@@ -16,6 +16,7 @@ with the meta symbol itself (U+2581) decodes to blanks there, which `exact` repo
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .scratch import column, pack, with_columns_of
 
 MODEL = "piece_bpe_32k.model"
-#: Units that a worker keeps, and their longest kept length.
-CACHED, CACHED_KEY = 1 << 19, 64
+#: Units that each of a worker's two generations keeps, pairs of pieces kept, and the longest unit kept.
+CACHED, PAIRS, CACHED_KEY = 1 << 18, 1 << 19, 64
 _META = "▁"
 _loaded: dict[str, "Pieces"] = {}
 
@@ -65,10 +66,12 @@ class Pieces:
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        self.singles = {p for p in self.ids if len(p) == 1}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.units = re.compile(f"{_META}+[^{_META}\n]*|\n|[^{_META}\n]+" if "\n" not in joined and not any(_META in p.lstrip(_META) for p in self.ids) else r"(?s).+")
-        self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.kept: dict[str, bytes] = {}  # units seen since the last change of generation; each decodes to itself
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}  # by 32-bit halves: the piece before plus 2, the piece
         self.lowest = min((s for s in self.score), default=0.0) - 10.0
 
     def merge(self, text: str) -> list[str]:
@@ -87,40 +90,80 @@ class Pieces:
 
     def stays(self, before: int, piece: int) -> bool:
         """Whether a BPE encoder keeps the piece after the one before it (-1: at the start; -2: no piece)."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            want = [self.text[i] for i in (before, piece) if i >= 0]
-            known = self.pairs[before, piece] = self.merge("".join(want)) == want
+        want = [self.text[i] for i in (before, piece) if i >= 0]
+        if len(want) == 2 and want[0] + want[1] in self.ids:  # they would merge
+            self.pairs[(before + 2) << 32 | piece] = False
+            return False
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[(before + 2) << 32 | piece] = self.merge("".join(want)) == want
         return known
 
-    def encode_unit(self, unit: str) -> list[int]:
+    def chain(self, unit: str) -> list[int] | None:
+        """BPE pieces of a unit, in one pass over the automaton's matches; None if they don't reach its end."""
+        n = len(unit)
+        last: list[int | None] = [None] * (n + 1)  # the piece that ends at each place; -2: a character without one
+        last[0] = -1
+        start, pairs, plain, done = [0] * (n + 1), self.pairs, self.singles.issuperset(unit), 0
+        for end, (length, piece) in self.automaton.iter(unit):
+            end += 1
+            if not plain:
+                for at in range(done + 1, end):  # places between matches: characters without a piece
+                    if last[at] is None and unit[at - 1] not in self.singles:
+                        last[at], start[at] = -2, at - 1
+                done = end - 1
+            if last[end] is None:
+                before = last[end - length]
+                if before is not None:
+                    keep = pairs.get((before + 2) << 32 | piece)
+                    if keep is None:
+                        keep = self.stays(before, piece)
+                    if keep:
+                        last[end], start[end] = piece, end - length
+        if not plain:
+            for at in range(done + 1, n + 1):
+                if last[at] is None and unit[at - 1] not in self.singles:
+                    last[at], start[at] = -2, at - 1
+        if last[n] is None:
+            return None
+        out: list[int] = []
+        while n:
+            if last[n] >= 0:
+                out.append(last[n])
+            else:
+                out += self.spell(unit[n - 1])[::-1]
+            n = start[n]
+        return out[::-1]
+
+    def viterbi(self, unit: str) -> list[int]:
+        """Unigram pieces of a unit: at each place the best sum of scores."""
         n = len(unit)
-        last: list[int | None] = [-1] + [None] * n  # the piece that ends at each place; -2: a character without one
-        start, best = [0] * (n + 1), [0.0] + [-np.inf] * n
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        last, start, best = [-2] * (n + 1), [0] * (n + 1), [0.0] + [-np.inf] * n
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for end, match in self.automaton.iter(unit):
-            found[end].append(match)
+            found[end + 1].append(match)
         for end in range(1, n + 1):
-            for length, piece in found[end - 1]:
-                at = end - length
-                if last[at] is None:
-                    continue
-                if self.bpe:
-                    if self.stays(last[at], piece):
-                        last[end], start[end] = piece, at
-                        break
-                elif best[at] + self.score[piece] > best[end]:
-                    last[end], start[end], best[end] = piece, at, best[at] + self.score[piece]
-            if unit[end - 1] not in self.ids and (self.bpe or best[end - 1] + self.lowest > best[end]):
+            for length, piece in found[end]:
+                if best[end - length] + self.score[piece] > best[end]:
+                    last[end], start[end], best[end] = piece, end - length, best[end - length] + self.score[piece]
+            if best[end - 1] + self.lowest > best[end] and unit[end - 1] not in self.singles:
                 last[end], start[end], best[end] = -2, end - 1, best[end - 1] + self.lowest
-        if last[n] is None:  # merges of equal score (runs of blanks) are not settled by neighbours
-            return [i for part in self.merge(unit) for i in ([self.ids[part]] if part in self.ids else self.spell(part))]
         out: list[int] = []
         while n:
             out += [last[n]] if last[n] >= 0 else self.spell(unit[n - 1])[::-1]
             n = start[n]
         return out[::-1]
 
+    def merged(self, unit: str) -> list[int]:
+        return [i for part in self.merge(unit) for i in ([self.ids[part]] if part in self.ids else self.spell(part))]
+
+    def encode_unit(self, unit: str) -> list[int]:
+        if not self.bpe:
+            return self.viterbi(unit)
+        # merges of equal score, as in runs of blanks, are not settled by neighbours: there the merges decide
+        ids = None if unit.startswith(_META * 2) else self.chain(unit)
+        return self.merged(unit) if ids is None else ids
+
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
@@ -128,27 +171,37 @@ class Pieces:
         """The ids of a text as 32-bit integers in a row."""
         if not text:
             return b""
-        text = (_META if self.prefix else "") + text.replace(" ", _META)
-        units, kept = self.units.findall(text), self.kept
+        units = self.units.findall((_META if self.prefix else "") + text.replace(" ", _META))
         try:
-            return b"".join(map(kept.__getitem__, units))
+            return b"".join(map(self.kept.__getitem__, units))
         except KeyError:
-            out = []
-            for unit in units:
-                ids = kept.get(unit)
-                if ids is None:
-                    # a run of many blanks has merges of equal score: let the merges themselves decide
-                    plain = not self.bpe or not unit.startswith(_META * 2)
-                    ids = np.array(self.encode_unit(unit) if plain else [i for part in self.merge(unit) for i in ([self.ids[part]] if part in self.ids else self.spell(part))], np.int32).tobytes()
-                    if len(unit) <= CACHED_KEY:
-                        if len(kept) >= CACHED:
-                            kept.clear()
-                        kept[unit] = ids
-                out.append(ids)
-            return b"".join(out)
+            return b"".join([self.kept.get(u) or self.learn(u) for u in units])
+
+    def learn(self, unit: str) -> bytes:
+        """The ids of a unit that the younger generation lacks."""
+        ids = self.older.get(unit)
+        if ids is None:
+            numbers = self.encode_unit(unit)
+            ids = array("i", numbers).tobytes()
+            if len(unit) > CACHED_KEY or self.spelled(numbers) != unit.replace(_META, " "):
+                return ids
+        if len(self.kept) >= CACHED:
+            self.older, self.kept = self.kept, {}
+        self.kept[unit] = ids
+        return ids
+
+    def exact(self, text: str, ids: bytes) -> bool:
+        """Whether the ids decode to the text. Units decode on their own and kept ones have been decoded, so only texts
+        with other units, or with the meta symbol in them, are decoded whole."""
+        if _META not in text and all(map(self.kept.__contains__, self.units.findall((_META if self.prefix else "") + text.replace(" ", _META)))):
+            return True
+        return self.decode(np.frombuffer(ids, np.int32).tolist()) == text
+
+    def spelled(self, ids: list[int]) -> str:
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        text = self.spelled(ids)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -167,11 +220,13 @@ def _encode(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 texts = pc.fill_null(column(part, "text"), "").to_pylist()
-                rows = [np.frombuffer(tool.encode(t), np.int32) for t in texts]
-                exact = [tool.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
+                coded = [tool.encode(t) for t in texts]
+                exact = [tool.exact(t, c) for t, c in zip(texts, coded, strict=True)]
+                rows = [np.frombuffer(c, np.int32) for c in coded]
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([column(part, "rest"), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(exact, pa.bool_())], names=["rest", "n_tokens", "ids", "exact"])
+        tool.older = {}  # an idle worker holds one generation
 
     return run
 
