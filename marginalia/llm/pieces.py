@@ -168,7 +168,9 @@ class Pieces:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as 32-bit integers in a row."""
+        """The ids of a text as 32-bit integers in a row; afterwards `doubt` tells whether a unit did not decode to
+        itself."""
+        self.doubt = False
         if not text:
             return b""
         units = self.units.findall((_META if self.prefix else "") + text.replace(" ", _META))
@@ -178,24 +180,26 @@ class Pieces:
             return b"".join([self.kept.get(u) or self.learn(u) for u in units])
 
     def learn(self, unit: str) -> bytes:
-        """The ids of a unit that the younger generation lacks."""
+        """The ids of a unit that the younger generation lacks. Only units that decode to themselves are kept."""
         ids = self.older.get(unit)
         if ids is None:
             numbers = self.encode_unit(unit)
             ids = array("i", numbers).tobytes()
-            if len(unit) > CACHED_KEY or self.spelled(numbers) != unit.replace(_META, " "):
+            if self.spelled(numbers) != unit.replace(_META, " "):
+                self.doubt = True
+                return ids
+            if len(unit) > CACHED_KEY:
                 return ids
         if len(self.kept) >= CACHED:
             self.older, self.kept = self.kept, {}
         self.kept[unit] = ids
         return ids
 
-    def exact(self, text: str, ids: bytes) -> bool:
-        """Whether the ids decode to the text. Units decode on their own and kept ones have been decoded, so only texts
-        with other units, or with the meta symbol in them, are decoded whole."""
-        if _META not in text and all(map(self.kept.__contains__, self.units.findall((_META if self.prefix else "") + text.replace(" ", _META)))):
-            return True
-        return self.decode(np.frombuffer(ids, np.int32).tolist()) == text
+    def checked(self, text: str) -> tuple[bytes, bool]:
+        """The ids of a text, and whether they decode to it. Units decode on their own and each has been decoded, so
+        only texts with a doubtful one, or with the meta symbol in them, are decoded whole."""
+        ids = self.encode(text)
+        return ids, not (self.doubt or _META in text) or self.decode(np.frombuffer(ids, np.int32).tolist()) == text
 
     def spelled(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -220,9 +224,9 @@ def _encode(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 texts = pc.fill_null(column(part, "text"), "").to_pylist()
-                coded = [tool.encode(t) for t in texts]
-                exact = [tool.exact(t, c) for t, c in zip(texts, coded, strict=True)]
-                rows = [np.frombuffer(c, np.int32) for c in coded]
+                coded = [tool.checked(t) for t in texts]
+                exact = [sure for _, sure in coded]
+                rows = [np.frombuffer(c, np.int32) for c, _ in coded]
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([column(part, "rest"), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(exact, pa.bool_())], names=["rest", "n_tokens", "ids", "exact"])
