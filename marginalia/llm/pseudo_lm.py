@@ -4,10 +4,10 @@ Every word is predicted from the WINDOW words on both of its sides. The probabil
 a bidirectional window network, times that of the word in its class, from counts over the whole corpus. A text's score
 is the sum of the log-probabilities of its words.
 
-Counts: every word of every text, summed by word (partial aggregates before the shuffle). The FREQUENT most frequent
-words have entries of their own; all others share BUCKETS buckets, whose counts and numbers of words are kept, so that
-the table has a fixed size and no word is without a probability. Classes are runs of entries, by falling count, of about
-equal mass.
+Counts: every word of every text, summed by word (partial aggregates before the shuffle), in a distributed table that
+grows with the words. The FREQUENT most frequent words have entries of their own on every worker; all others share
+BUCKETS entries there, which only settle their class: their own counts come from the table by a join, so the probability
+of every word in its class is exact. Classes are runs of entries, by falling count, of about equal mass.
 
 Network, in numpy: the class embeddings of the context, one table a position, are summed; a tanh layer; a softmax over
 classes. It starts from a driver-side fit on a bounded sample; then every partition trains on all of its texts from the
@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,22 +38,24 @@ _FIELDS = (("tables", (2 * WINDOW, CLASSES + 1, WIDTH)), ("hidden", (WIDTH,)), (
 
 
 class Vocabulary:
-    """Entries for frequent words and buckets for the rest: class of each, and log P(word | class)."""
+    """Entries for frequent words and buckets for the rest: class of each, and log P(word | class); a bucket's lacks the
+    log of the word's own count."""
 
     def __init__(self, frequent: np.ndarray, frequent_n: np.ndarray, bucket_n: np.ndarray, bucket_words: np.ndarray):
         order = np.argsort(frequent)
         self.frequent = frequent[order]
-        counts = np.concatenate([frequent_n[order], bucket_n + 1]).astype(float)
-        kinds = np.concatenate([np.ones(len(frequent)), np.maximum(bucket_words, 1)])
+        self.buckets = len(bucket_n)
+        counts = np.concatenate([frequent_n[order], bucket_n]).astype(float)
+        own = np.concatenate([np.log(frequent_n[order]), np.where(bucket_words > 0, 0.0, -np.inf)])
         by_count = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(counts[by_count]) / counts.sum()
+        mass = np.cumsum(counts[by_count]) / max(counts.sum(), 1)
         self.of = np.empty(len(counts), np.int8)
         self.of[by_count] = np.minimum((mass * CLASSES).astype(int), CLASSES - 1)
         total = np.bincount(self.of, counts, CLASSES)
-        self.log = (np.log(counts / kinds) - np.log(total[self.of])).astype(np.float32)
+        self.log = (own - np.log(np.maximum(total, 1))[self.of]).astype(np.float32)
 
     def entries(self, fp: np.ndarray) -> np.ndarray:
-        out = (fp & np.uint64(BUCKETS - 1)).astype(np.int64) + len(self.frequent)
+        out = (fp & np.uint64(self.buckets - 1)).astype(np.int64) + len(self.frequent)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, fp), len(self.frequent) - 1)
             hit = self.frequent[at] == fp
@@ -124,7 +127,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def count_vocabulary(texts: DataFrame) -> Vocabulary:
+def count_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The entries, and (word, n) of every word that has none of its own."""
     counts = materialize(texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT)
     rows = top.toPandas()
@@ -135,7 +139,7 @@ def count_vocabulary(texts: DataFrame) -> Vocabulary:
     buckets = rest.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     n, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     n[buckets.bucket], kinds[buckets.bucket] = buckets.n, buckets.words
-    return Vocabulary(rows.word.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(np.int64), n, kinds)
+    return Vocabulary(rows.word.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(np.int64), n, kinds), rest
 
 
 def train_on(network: Network, vocabulary: Vocabulary, texts: pa.Array, rate: float) -> int:
@@ -182,7 +186,7 @@ def train(texts: DataFrame, vocabulary: object, sample_rows: int = SAMPLE_ROWS,
 
 def _score(flat: object, vocabulary: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(flat.value)
+        network, row = Network(flat.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, to in slices(column(batch, "text")):
                 part = batch.slice(at, to - at)
@@ -194,7 +198,11 @@ def _score(flat: object, vocabulary: object) -> Callable[[Iterator[pa.RecordBatc
                 for lo in range(0, len(fp), 8 * STEP):
                     lp[lo : lo + 8 * STEP] += network.log_probability(around[:, lo : lo + 8 * STEP], target[lo : lo + 8 * STEP])
                 total = np.concatenate([[0.0], np.cumsum(lp)])
-                yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]])], names=["id", "n_words", "log_likelihood"])
+                rare = entry >= len(vocabulary.value.frequent)
+                ends = np.concatenate([[0], np.cumsum(rare)])[off].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(fp[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(part))), column(part, "id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), rest], names=["row", "id", "n_words", "ll", "rare"])
+                row += len(part)
 
     return run
 
@@ -203,10 +211,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Per document: id, n_words, log_likelihood (the sum over its words), mean and perplexity, under a model of docs."""
     rows = with_columns_of(docs, id=id_col, text=text_col)
     texts, sc = rows.select("text"), docs.sparkSession.sparkContext
-    vocabulary = sc.broadcast(count_vocabulary(texts))
+    entries, rest = count_vocabulary(texts)
+    vocabulary = sc.broadcast(entries)
     flat = sc.broadcast(train(texts, vocabulary))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_score(flat, vocabulary), f"id {kind}, n_words long, log_likelihood double")
+    scored = materialize(rows.mapInArrow(_score(flat, vocabulary), f"row long, id {kind}, n_words long, ll double, rare array<long>"))
+    own = scored.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+    out = scored.drop("rare").join(own, "row", "left").withColumn("log_likelihood", F.col("ll") + F.coalesce("own", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "log_likelihood", mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))
 

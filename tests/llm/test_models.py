@@ -111,6 +111,14 @@ def test_pseudo_likelihood(spark, sf):
     assert M.score(both.where("false")).collect() == []
 
 
+def test_words_of_one_bucket_keep_their_own_counts(spark, monkeypatch):
+    monkeypatch.setattr(M, "FREQUENT", 1)
+    monkeypatch.setattr(M, "BUCKETS", 1)
+    got = M.score(spark.createDataFrame([(0, "a a a a a a"), (1, "b"), (2, "c"), (3, "c"), (4, "c")], "doc_id long, text string")).collect()
+    by = {r.doc_id: r.log_likelihood for r in got}
+    assert len(got) == 5 and [by[2], by[3], by[4]] == pytest.approx([by[1] + np.log(3)] * 3)
+
+
 def test_vocabulary_is_a_distribution_and_the_network_learns():
     seq = np.tile(np.arange(40, dtype=np.uint64), 500)
     keys, n = np.unique(seq, return_counts=True)
