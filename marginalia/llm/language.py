@@ -6,8 +6,9 @@ towards the host's domain, and that towards all pages. How much a declaration or
 grouped aggregation of the text's own posteriors; a page's own share is taken out of every count before it is used. The
 log evidence is summed and normalised.
 
-Counts cover all documents and pages and are sums, so they are pre-aggregated before any shuffle; the driver holds one
-trigram table per language (2 ** BITS counts), not more than MAX_LANGUAGES.
+Counts cover all documents and pages and are sums, so they are pre-aggregated before any shuffle. Every label takes part:
+the driver holds one trigram table per language (2 ** BITS numbers), and texts are scored against BLOCK languages at a
+time, a broadcast and a pass each; likelihoods are merged before they are compared.
 
 Defined results: a null page or one without text falls back on the other evidence; without labelled documents the
 language is null and the probability 0; null languages in the labels are ignored; repeated pages count each; pages
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .scratch import column, materialize, raw_bytes, slices, with_columns_of
 
-BITS, MAX_LANGUAGES = 14, 256
+BITS, BLOCK = 14, 256
 #: Pseudo-counts: of a trigram, of a host's and a domain's prior, of what a declaration or suffix says. Trigrams of a
 #: text depend on each other, so their log-likelihood is tempered.
 TRIGRAM, HOST, DOMAIN, CLUE, TEMPER = 0.5, 8.0, 32.0, 4.0, 0.25
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|noscript)\b.*?</\1\s*>|<[^>]*>")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})")
+_SEEN = ["id", "host", "domain", "suffix", "declared", "text", "ll"]
 _ENTITY = re.compile(r"&[#\w]{1,10};")
 
 
@@ -70,17 +72,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """log P(trigram | language) of every bucket."""
+    """log P(trigram | language) of every bucket, in blocks of languages."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs = langs
-        self.log = np.log((counts + TRIGRAM) / (counts + TRIGRAM).sum(axis=1, keepdims=True)).astype(np.float32).T if langs else np.zeros((1 << BITS, 0), np.float32)
+    def __init__(self, langs: list[str], blocks: list[np.ndarray]):
+        self.langs, self.blocks = langs, blocks or [np.zeros((1 << BITS, 0), np.float32)]
 
-    def posteriors(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, under equal priors."""
-        bucket, of = trigrams(texts)
-        ll = np.column_stack([np.bincount(of, self.log[bucket, k], len(texts)) for k in range(len(self.langs))]) if self.langs else np.zeros((len(texts), 0))
-        return TEMPER * (ll - ll.max(axis=1, keepdims=True)) if ll.size else ll.astype(float)
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + TRIGRAM) / (counts + TRIGRAM).sum(axis=1, keepdims=True)).astype(np.float32).T
+
+
+def likelihoods(log: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Tempered, of each text under each language of a block."""
+    bucket, of = trigrams(texts)
+    return TEMPER * np.column_stack([np.bincount(of, log[bucket, k], len(texts)) for k in range(log.shape[1])]) if log.shape[1] else np.zeros((len(texts), 0))
+
+
+def from_best(ll: np.ndarray) -> np.ndarray:
+    return ll - ll.max(axis=1, keepdims=True) if ll.size else ll
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -88,11 +97,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = with_columns_of(labelled, lang=lang_col, text=text_col).where("lang is not null and text is not null").select(F.lower("lang").alias("lang"), "text")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = materialize(counts)
-    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect())
-    table = np.zeros((len(langs), 1 << BITS))
-    for r in counts.where(F.col("lang").isin(langs)).toLocalIterator():
-        table[langs.index(r.lang), r.bucket] = r.n
-    return Model(langs, table)
+    langs, blocks = sorted(r.lang for r in counts.select("lang").distinct().collect()), []
+    for at in range(0, len(langs), BLOCK):
+        place = {name: k for k, name in enumerate(langs[at : at + BLOCK])}
+        table = np.zeros((len(place), 1 << BITS))
+        for r in counts.where(F.col("lang").isin(list(place))).toLocalIterator():
+            table[place[r.lang], r.bucket] = r.n
+        blocks.append(log_shares(table))
+    return Model(langs, blocks)
 
 
 def visible(html: str) -> str:
@@ -106,7 +118,9 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _evidence(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _evidence(block: object, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Clues and likelihoods under the first block; the visible text goes on to further blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -114,21 +128,42 @@ def _evidence(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 html, urls = [h or "" for h in column(part, "html").to_pylist()], column(part, "url").to_pylist()
                 declared = [m[1].lower()[:2] if (m := _LANG.search(h)) else "" for h in html]
                 hosts = [host_of(u) for u in urls]
-                ll = model.value.posteriors(pa.array([visible(h) for h in html], pa.string()))
+                texts = pa.array([visible(h) for h in html], pa.string())
+                ll = likelihoods(block.value, texts)
+                ll, texts = (from_best(ll), pa.nulls(len(part), pa.string())) if last else (ll, texts)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "id"), pa.array(hosts), pa.array([".".join(h.split(".")[-2:]) for h in hosts]), pa.array([h.rpartition(".")[2] for h in hosts]), pa.array(declared), pa.array(list(ll), pa.list_(pa.float64()))],
-                    names=["id", "host", "domain", "suffix", "declared", "ll"],
+                    [column(part, "id"), pa.array(hosts), pa.array([".".join(h.split(".")[-2:]) for h in hosts]), pa.array([h.rpartition(".")[2] for h in hosts]), pa.array(declared), texts, pa.array(list(ll), pa.list_(pa.float64()))],
+                    names=_SEEN,
                 )
 
     return run
 
 
+def _further(block: object, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Likelihoods under one more block, after those so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = column(part, "text")
+                ll = np.hstack([np.array(column(part, "ll").to_pylist()), likelihoods(block.value, texts)])
+                ll, texts = (from_best(ll), pa.nulls(len(part), pa.string())) if last else (ll, texts)
+                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in _SEEN[:-2]], texts, pa.array(list(ll), pa.list_(pa.float64()))], names=_SEEN)
+
+    return run
+
+
 def identify(pages: DataFrame, model: Model, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, host, declared, text_lang (text alone), lang, probability."""
     spark, n = pages.sparkSession, len(model.langs)
     raw = with_columns_of(pages, id=id_col, url=url_col, html=html_col)
     kind = raw.schema["id"].dataType.simpleString()
-    seen = raw.mapInArrow(_evidence(spark.sparkContext.broadcast(model)), f"id {kind}, host string, domain string, suffix string, declared string, ll array<double>")
+    fields, last = f"id {kind}, host string, domain string, suffix string, declared string, text string, ll array<double>", len(model.blocks) - 1
+    seen = raw.mapInArrow(_evidence(spark.sparkContext.broadcast(model.blocks[0]), not last), fields)
+    for k, block in enumerate(model.blocks[1:], 1):
+        seen = materialize(seen).mapInArrow(_further(spark.sparkContext.broadcast(block), k == last), fields)
+    seen = seen.drop("text")
     # the text's own posterior under equal priors: what all counts are sums of
     odds = F.transform("ll", F.exp)
     share = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)

@@ -163,6 +163,18 @@ def test_language(spark):
     assert L.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
 
 
+def test_all_languages_take_part(spark):
+    # the last language has the fewest trigrams
+    names = [f"{a}{b}" for a in "abcdefghijklm" for b in "abcdefghijklmnopqrst"]
+    texts = {x: f"{x}{x[::-1]}{x} " * (300 - k) for k, x in enumerate(names)}
+    model = L.fit(spark.createDataFrame([(t, x) for x, t in texts.items()], "text string, lang string"))
+    assert model.langs == sorted(names) and len(names) == 260
+    some = [names[0], names[130], names[255], names[-1]]
+    pages = spark.createDataFrame([(k, f"http://h{k}.example/", f"<p>{texts[x]}</p>") for k, x in enumerate(some)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in L.identify(pages, model).collect()}
+    assert [(got[k].text_lang, got[k].lang) for k in range(4)] == [(x, x) for x in some] and all(0.5 < r.probability <= 1 for r in got.values())
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", None, None, None)], docs.schema)
