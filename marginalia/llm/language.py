@@ -126,7 +126,7 @@ def _evidence(block: object, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 html, urls = [h or "" for h in column(part, "html").to_pylist()], column(part, "url").to_pylist()
-                declared = [m[1].lower()[:2] if (m := _LANG.search(h)) else "" for h in html]
+                declared = [m[1].lower() if (m := _LANG.search(h)) else "" for h in html]
                 hosts = [host_of(u) for u in urls]
                 texts = pa.array([visible(h) for h in html], pa.string())
                 ll = likelihoods(block.value, texts)

@@ -163,6 +163,14 @@ def test_language(spark):
     assert L.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
 
 
+def test_declared_language_is_the_whole_primary_subtag(spark):
+    tags = {"fil": "fil", "fi": "fi", "CEB-PH": "ceb", "gsw_CH": "gsw", "en-US": "en"}
+    pages = spark.createDataFrame([(k, "http://a.example/", f'<html lang="{t}"><p>text</p>') for k, t in enumerate(tags)], "page_id long, url string, html string")
+    model = L.fit(spark.createDataFrame([("some text", "en"), ("du texte", "fr")], "text string, lang string"))
+    got = {r.page_id: r.declared for r in L.identify(pages, model).collect()}
+    assert [got[k] for k in range(len(tags))] == list(tags.values())
+
+
 def test_all_languages_take_part(spark):
     # the last language has the fewest trigrams
     names = [f"{a}{b}" for a in "abcdefghijklm" for b in "abcdefghijklmnopqrst"]
