@@ -329,6 +329,26 @@ def boilerplate_discount(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sentence_id", r6(X.boilerplate_discount(F.col("text"), X.tokens(F.col("text")))).alias("discount"))
 
 
+# The same, but for the phrases, over all sentences of all documents.
+DOC = f"with {O.rhetoric(O.DOCUMENTS)}"
+
+
+@query(SQL["category_totals"].replace(LIT, DOC))
+def category_totals_documents(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.category_totals(rhetoric_scores(document_sentences(spark, d)))
+
+
+@query(SQL["tell_overview"].replace(LIT, DOC))
+def tell_overview_documents(spark: SparkSession, d: str) -> DataFrame:
+    return review.tell_overview(rhetoric_scores(document_sentences(spark, d)))
+
+
+@query(SQL["boilerplate_discount"].replace(O.sentences(LITERAL), O.sentences(O.DOCUMENTS)))
+def boilerplate_discount_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = document_sentences(spark, d)
+    return rows.select("sentence_id", r6(X.boilerplate_discount(F.col("text"), X.tokens(F.col("text")))).alias("discount"))
+
+
 def values(rows: list[tuple], names: str) -> str:
     """A VALUES table; strings keep line breaks and backslashes."""
     one = lambda v: "null" if v is None else O.text(v) if isinstance(v, str) else str(v)
@@ -439,6 +459,15 @@ def first_sentence_place(spark: SparkSession, d: str) -> DataFrame:
     return document_sentences(spark, d).where("ord = 0").select("doc_id", "ord", "char_start", "char_end")
 
 
+@query(f"""with recursive {O.sentences(O.DOCUMENTS)}, src as materialized (select s.doc_id, s.ord, s.text, d.text as body from sent s join documents d using (doc_id)),
+walk as (select doc_id, ord, greatest(p, 0) as char_start, greatest(p + len(text), 0) as char_end, greatest(p + len(text), 0) as cur from (select *, strpos(body, text) - 1 as p from src where ord = 0)
+union all select doc_id, ord, greatest(p, 0), greatest(p + n, 0), greatest(p + n, cur) from (select s.doc_id, s.ord, len(s.text) as n, w.cur, case when strpos(substr(s.body, w.cur + 1), s.text) > 0 then w.cur + strpos(substr(s.body, w.cur + 1), s.text) - 1 else strpos(s.body, s.text) - 1 end as p from walk w join src s on s.doc_id = w.doc_id and s.ord = w.ord + 1))
+select doc_id, ord, cast(char_start as integer) as char_start, cast(char_end as integer) as char_end from walk""")
+def sentence_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where every sentence of every document stands in its text, searched on from the sentence before."""
+    return document_sentences(spark, d).select("doc_id", "ord", "char_start", "char_end")
+
+
 SLUGS = ["Intro & Methods", "", "--", "Été 2020", "already_ok"]
 
 

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from marginalia.plans import queries as Q
 from marginalia.sources import archives, corpus, sinks, tex
 
 
@@ -122,3 +123,19 @@ def test_command_line(spark, tmp_path):
     (row,) = spark.read.parquet(str(tmp_path / "out" / "review")).collect()
     found = json.loads(row.payload)
     assert row.doc_id == "paper" and found["rows"][0]["matches"][0]["source_label"] == "x" and found["outline"][0]["label"] == "A" and len(found["spans"]) == 1
+
+
+def test_places_of_all_sentences_against_a_loop(spark, tmp_path):
+    one, two, three = "The first sentence is long enough here.", "Another sentence that comes after it.", "A sentence with a line\nbreak inside of it."
+    bodies = {1: f"{one} {two} {one} {three} {two}", 2: two, 3: f"{three} {one} {one}"}
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in bodies.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, sentences in ((1, [one, two, one, three, two]), (2, [two]), (3, [three, one, one])):
+        cursor = 0
+        for n, sentence in enumerate(x.replace("\n", " ") for x in sentences):
+            start = bodies[k].find(sentence, cursor)
+            start = bodies[k].find(sentence) if start < 0 else start
+            cursor = max(cursor, start + len(sentence))
+            want.append((k, n, max(start, 0), max(start + len(sentence), 0)))
+    got = Q.QUERIES["sentence_places"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want
