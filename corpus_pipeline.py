@@ -2,7 +2,8 @@
 
 1. quality: documents that the line classifier rejects go.
 2. near_dedup: of each class of near copies the document with the least id stays.
-3. cut_repeats: bytes covered by a string of 400 bytes that starts elsewhere too go; the document stays.
+3. cut_repeats: bytes covered by a string of 200 bytes (51 words of under four bytes with a separator) that starts
+   elsewhere too go; the document stays.
 4. decontaminate: documents go of which a twentieth of the words or more lie in benchmark passages.
 5. encode: piece ids of what is left.
 """
@@ -18,6 +19,10 @@ from marginalia.llm import decontaminate, near_dups, pieces, quality, suffix_ded
 from marginalia.llm.scratch import materialize, small_batches
 
 
+#: Bytes of a repeat, shorter than most passages of 51 words; op10 has 400 by contract.
+REPEAT, REPEAT_WINDOW = 200, 128
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fitted(spark, docs, sf_dir))
 
@@ -27,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_dedup.cut_repeats(docs, length=REPEAT, window=REPEAT_WINDOW).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

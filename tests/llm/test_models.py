@@ -183,6 +183,20 @@ def test_all_languages_take_part(spark):
     assert [(got[k].text_lang, got[k].lang) for k in range(4)] == [(x, x) for x in some] and all(0.5 < r.probability <= 1 for r in got.values())
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    random.seed(3)
+    word = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passages = [" ".join(word(n + k % 2) for k in range(51)) for n in (3, 4, 5)]
+    assert [len(p) < 400 for p in passages] == [True] * 3
+    fill = lambda: " ".join(word(7) for _ in range(80))
+    texts = [f"{fill()}. {p}. {fill()}" for p in passages for _ in range(2)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for k, t in enumerate(texts):
+        a, b = t.split(f". {passages[k // 2]}. ")
+        assert got[k].text.startswith(a) and got[k].text.endswith(b) and len(got[k].text) <= len(a) + len(b) + 4 and got[k].n_chars == len(got[k].text)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", None, None, None)], docs.schema)
