@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,35 +18,68 @@ SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if the master
+    is local (tests); on a cluster executors could not see that, so there it is an error."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marginalia-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def table_path(spark: SparkSession) -> str:
-    """A new path in the shared folder; it goes when the application ends."""
+    """A new path in the shared folder; it goes when the scope() around it ends, or else when the application ends."""
     path = f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of table_path()."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables written inside go when it ends: write what an operator returns before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, is computed once."""
-    path = table_path(df.sparkSession)
-    df.write.option("compression", "snappy").parquet(path)
+    return appended([df])
+
+
+def appended(parts: Iterable[DataFrame]) -> DataFrame:
+    """One table of all parts, each written before the next is asked for."""
+    path = None
+    for df in parts:
+        path = path or table_path(df.sparkSession)
+        df.write.mode("append").option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
-    """Sets Arrow batches to a few MB where the session has Spark's default: a Python worker then holds less at once."""
+    """Sets Arrow batches to a few MB where the session has Spark's default: a Python worker then holds less at once.
+
+    The setting stays: queries are lazy, and Spark reads it when they run.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, size)

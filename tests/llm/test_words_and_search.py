@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate as D
 from marginalia.llm import kd_shards as K
@@ -97,24 +98,54 @@ def brute_top(rows, k=5):
     return out
 
 
+def asked():
+    return F.col("id") % 50 == 0
+
+
 @pytest.mark.parametrize("n", [3, 400])
-def test_top_k(spark, monkeypatch, n):
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+def test_top_k(spark, n):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 20))
     rows = [(k * 10, (centres[k % 6] + 0.1 * rng.normal(size=20)).tolist()) for k in range(n)]
     rows += [(50, rows[0][1]), (7, rows[1][1]), (7, rows[1][1]), (None, rows[0][1]), (8, None), (9, [None] + [0.0] * 19), (11, [float("nan")] * 20), (12, [float("inf")] * 20)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string").repartition(3)
-    got = topk.top_k(df, __import__("pyspark").sql.functions.col("id") % 50 == 0)
+    got = topk.top_k(df, asked(), block_bytes=1000, chunk=32)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows)
 
 
+def test_top_k_of_negative_scores_and_ties_on_the_pruned_path(spark):
+    rows = [(0, [12.0] * 32)] + [(k, [-12.0] * 32) for k in range(1, 3000)] + [(5000 + k, [-13.0] * 32) for k in range(500)]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<float>").repartition(2)
+    got = topk.top_k(df, F.col("id") == 0, chunk=256)
+    assert [(r["rank"], r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(k, k, -32 * 12 * 12 * 256 * 256) for k in range(1, 6)]
+
+
+@pytest.mark.parametrize("shift", [0.0, -400.0])
+def test_chunks_prune_and_stay_exact(shift):
+    """Clusters, ties and copies; with the shift, every score is far below 0."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 48)) * 60
+    x = np.floor(centres[rng.integers(9, size=2400)] + rng.normal(size=(2400, 48)) * 4)
+    x[1200:1500] = x[7]
+    x[:40] -= shift
+    x[40:] += shift
+    ids = rng.permutation(2400).astype(np.int64)
+    q = topk.Queries(ids[:40], x[:40], 5)
+    for at in range(0, 2400, 200):
+        q.search(ids[at : at + 200], x[at : at + 200])
+    assert 0 < q.survived[-1] < 0.5 * q.survived[0]
+    for k in range(40):
+        scores = x[k] @ x.T
+        best = [i for i in np.lexsort((ids, -scores)) if i != k][:5]
+        assert q.found[k].tolist() == ids[best].tolist() and q.score[k].tolist() == scores[best].tolist()
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 64)) * 60
     x = np.floor(centres[rng.integers(8, size=3000)] + rng.normal(size=(3000, 64)) * 5)
     q = topk.Queries(np.arange(20), x[:20], 5)
-    for s in topk.SEGMENTS:
+    for s in (4, 16, 32):
         assert (topk.statistics(x[:20], s) @ topk.statistics(x, s).T >= x[:20] @ x.T - 1e-6).all()
     for at in range(0, 3000, 500):
         q.search(np.arange(3000)[at : at + 500], x[at : at + 500])
@@ -122,7 +153,7 @@ def test_bounds_hold_and_prune():
 
 
 def test_top_k_of_empty_tables(spark):
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("id") % 50 == 0).collect() == []
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), asked()).collect() == []
 
 
 # ---- shards
