@@ -35,8 +35,12 @@ SLOTS = BANDS * ROWS
 _GOLD, _NULL_ID = np.uint64(0x9E3779B97F4A7C15), -(1 << 63)
 
 
-def bag(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) and the shingle's count in the text. Shingles keep 48 bits."""
+def bag(texts: pa.Array, n: int = WORDS, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, shingle) and the shingle's count in the text. Shingles keep 48 bits; 16 are for the text, so more
+    texts are taken in parts."""
+    if len(texts) > most:
+        parts = [(at, *bag(texts.slice(at, most), n)) for at in range(0, len(texts), most)]
+        return np.concatenate([of + at for at, of, _, _ in parts]), *(np.concatenate([p[k] for p in parts]) for k in (2, 3))
     found, of = shingles(*words(texts), n)
     keys = np.sort((of.astype(np.uint64) << np.uint64(48)) | (found >> np.uint64(16)))
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -189,25 +193,26 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     rare = ordered.select("node", size.alias("size"), F.posexplode(F.slice("all", 1, size - F.ceil(size * similarity).cast("int") + 1)).alias("at", "t")).where("t.df > 1")
     rare = materialize(rare.join(nodes, "node").select("node", "label", "size", "at", "t.token"))
     # of a token's holders those of its main class meet only the others, never each other
+    # (written tables between the joins, so that both sides of each can be split where one token has many holders)
     held = rare.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    few = rare.join(held, "token").where("label != main").select("token", "main", "label", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+    few = rare.join(materialize(held), "token").where("label != main").select("token", "main", "label", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
     all_of = rare.select("token", F.col("node").alias("b"), F.col("label").alias("other"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
     apart_now = (F.col("label") < F.col("other")) | ((F.col("label") > F.col("other")) & (F.col("other") == F.col("main")))
     # the first token that two texts share leaves room for enough others after it
     room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
-    met = few.join(all_of, "token").where(apart_now & room & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")))
+    met = materialize(few).join(all_of, "token").where(apart_now & room & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that has an edge; label: the least node that it is connected with.
 
-    Alternates taking the least label around with jumping to the label's label; both are partial aggregates and joins,
+    Goes on until nothing moves; labels only fall, so it ends, after few rounds even for long chains. Alternates taking the least label around with jumping to the label's label; both are partial aggregates and joins,
     nothing is gathered per component.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
+    while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = labels.join(around, "node").join(jump, "label", "left").select("node", "label", F.least("label", "near", F.coalesce("far", "label")).alias("next"))
@@ -216,7 +221,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", F.col("next").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
