@@ -18,7 +18,8 @@ together serves, and arrays in this one can be merged without their texts.
 
 Defined results: a null text counts as empty; texts under `length` bytes lose nothing but can't be matched either;
 repeated rows and equal texts match each other; overlapping repeats inside one text count; strings are judged on the
-input, not on what is left; empty tables give empty results; further columns are ignored.
+input, not on what is left; empty tables give empty results; further columns are ignored. Strings count as equal if
+their 64-bit fingerprints are, within one core: among the 1.6e7 starts of a shard two others agree with a chance of 1e-5.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,7 +257,9 @@ def _named(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 n = len(data) - length + 1
                 name = Names(data)(np.arange(n), length)
                 one = lambda field, k=k, n=n: pa.array([column(batch, field)[k].as_py()] * n, batch.schema.field(field).type)
-                yield pa.RecordBatch.from_arrays([one("key"), one("size"), pa.array((np.arange(n) + column(batch, "lo")[k].as_py()).astype(np.int32)), one("core"), one("known"), pa.array(name.view(np.int64))], names=["key", "size", "lo", "core", "known", "name"])
+                lo = pa.array((np.arange(n) + column(batch, "lo")[k].as_py()).astype(np.int32))
+                columns = [one("key"), one("size"), one("lo"), lo, one("core"), one("known"), pa.array(name.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "context", "lo", "core", "known", "name"])
 
     return run
 
@@ -271,11 +274,13 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW
     spark = keyed.sparkSession
     long_texts = keyed.select("key", "size", "text").where(F.col("size") >= length)
     cut = materialize(long_texts.select("key", "text").mapInArrow(_cut(length, window), _ANCHOR))
-    cores = cut.where("core is not null").groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core")
+    # counts are written before they are joined: then a join's sides are plain rows, and Spark can split a hot core
+    cores = materialize(cut.where("core is not null").groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core"))
     common = materialize(cut.join(cores, "core", "left_semi"))
-    kinds = common.groupBy("core", "context").agg(F.sum("times").alias("n"), F.min("key").alias("first"))
-    mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    judged = materialize(common.join(kinds, ["core", "context"]).join(mixed, "core", "left"))
+    kinds = materialize(common.groupBy("core", "context").agg(F.sum("times").alias("n"), F.min("key").alias("first")))
+    mixed = materialize(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    kinds = materialize(kinds.join(mixed, "core", "left"))
+    judged = materialize(common.join(kinds, ["core", "context"]))
     found = cut.where("core is null").select("key", "size", "lo", "hi").unionByName(judged.where("n > 1").select("key", "size", "lo", "hi"))
 
     still = judged.where("kinds > 1 and key = first").select("key", "size", "lo", "hi", "core", (F.col("n") > 1).alias("known"), (F.col("kinds") > hot).alias("hot"))
@@ -284,9 +289,21 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW
     once = long_texts.join(asked, ["key", "size"]).select("key", "size", "text", "open")
     opened = materialize(once.mapInArrow(_contexts(length), _OPEN))
     found = found.unionByName(opened.where("not hot").repartition(shards, "core").mapInArrow(_index(length), "key long, size long, lo int, hi int"))
-    named = opened.where("hot").mapInArrow(_named(length), "key long, size long, lo int, core long, known boolean, name long")
-    names = named.groupBy("core", "name").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).where("n > 1").select("core", "name")
-    return found.unionByName(named.where("not known").join(names, ["core", "name"], "left_semi").select("key", "size", "lo", F.col("lo").alias("hi")))
+    if opened.where("hot").isEmpty():
+        return found
+    named = materialize(opened.where("hot").mapInArrow(_named(length), "key long, size long, context int, lo int, core long, known boolean, name long"))
+    names = materialize(named.groupBy("core", "name").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).where("n > 1").select("core", "name"))
+    starts = named.where("not known").join(names, ["core", "name"], "left_semi")
+    # the starts of a context, `window` at most, become runs before a text's runs are gathered
+    runs = starts.groupBy("key", "size", "context").agg(F.sort_array(F.collect_set("lo")).alias("at")).select("key", "size", F.explode(_runs(F.col("at"))).alias("run"))
+    return found.unionByName(runs.select("key", "size", "run.lo", "run.hi"))
+
+
+def _runs(at: Column) -> Column:
+    """Sorted integers as runs (lo, hi) of consecutive ones."""
+    opens = F.filter(at, lambda x, k: (k == 0) | (F.get(at, k - 1) != x - 1))
+    closes = F.filter(at, lambda x, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != x + 1))
+    return F.arrays_zip(opens.alias("lo"), closes.alias("hi"))
 
 
 def _keep(length: int, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
