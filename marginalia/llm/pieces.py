@@ -15,6 +15,7 @@ with the meta symbol itself (U+2581) decodes to blanks there, which `exact` repo
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -75,18 +76,29 @@ class Pieces:
         self.lowest = min((s for s in self.score), default=0.0) - 10.0
 
     def merge(self, text: str) -> list[str]:
-        """The merges of a BPE encoder: always the best-scored adjacent pair, of equal ones the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The merges of a BPE encoder: always the best-scored adjacent pair, of equal ones the leftmost. A heap of pairs
+        over linked parts, so that long runs of one character take n log n steps."""
+        parts: list[str | None] = list(text)
+        before, after, heap = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1], []
+
+        def propose(at: int) -> None:
+            to = after[at]
+            if to >= 0 and (i := self.ids.get(parts[at] + parts[to])) is not None:
+                heapq.heappush(heap, (-self.score[i], at, to, i))
+
+        for k in range(len(parts) - 1):
+            propose(k)
+        while heap:
+            _, at, to, i = heapq.heappop(heap)
+            if parts[at] is None or after[at] != to or parts[at] + parts[to] != self.text[i]:
+                continue  # one of the two has changed meanwhile
+            parts[at], parts[to], after[at] = self.text[i], None, after[to]
+            if after[to] >= 0:
+                before[after[to]] = at
+            propose(at)
+            if before[at] >= 0:
+                propose(before[at])
+        return [p for p in parts if p is not None]
 
     def stays(self, before: int, piece: int) -> bool:
         """Whether a BPE encoder keeps the piece after the one before it (-1: at the start; -2: no piece)."""
