@@ -6,8 +6,10 @@ hash, and the median is found digit by digit, each digit by one aggregate of at
 driver holds a fixed number of sums whatever the input. Only splits are kept on the driver.
 
 Equal texts form a group: they get one coordinate and one hash, so a split never parts them, unless the group alone
-outweighs a 64th of a shard and two of the largest texts, where near equal bytes come first and its rows get hashes of their own. Slots are numbered
-from partition offsets, without gathering a shard in one task.
+outweighs a 64th of a shard and two of the largest texts (which can't be parted either). Near equal bytes come first
+then, and its rows get hashes of all their columns: where they go depends on what they hold, not on files or partitions,
+and rows equal in all columns are one unit. Slots are numbered from partition offsets, without gathering a shard in one
+task.
 
 Defined results: a null text has no bytes and size 1; null metadata are the least coordinate; repeated rows each get a
 slot; fewer rows than shards leave shards empty; empty tables give empty results; further columns are ignored.
@@ -27,34 +29,52 @@ from pyspark.sql import types as T
 
 from .scratch import column, materialize
 
-DIMENSIONS, DIGIT, COORDINATE, HASH = ("n_chars", "lang", "source"), 13, 31, 31
+DIMENSIONS, DIGIT, COORDINATE, HASH = ("n_chars", "lang", "source"), 16, 31, 31
 
 
-def coordinate(kind: T.DataType, value: F.Column) -> F.Column:
-    """A number in the order of the values: numbers themselves, of strings the first six bytes."""
+#: A group of more than one row in so many is looked up in a broadcast of all such groups, at most that many.
+HOT_SHARE = 4096
+
+
+def coordinate(kind: T.DataType, value: F.Column, common: int) -> F.Column:
+    """A number in the order of the values: numbers themselves, of strings the six bytes after those that all share."""
     if isinstance(kind, T.NumericType):
         return F.when(~F.isnan(value.cast("double")), value.cast("double"))
-    return F.conv(F.substring(F.concat(F.hex(value.cast("string")), F.lit("0" * 12)), 1, 12), 16, 10).cast("double")
+    after = F.substring(F.concat(F.hex(value.cast("string")), F.lit("0" * 12)), 2 * common + 1, 12)
+    return F.conv(F.rpad(after, 12, "0"), 16, 10).cast("double")
+
+
+def shared_bytes(least: str | None, most: str | None) -> int:
+    """Bytes that all strings between these two begin with."""
+    a, b = (least or "").encode(), (most or "").encode()
+    return next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
 def split_rows(docs: DataFrame, shards: int, dimensions: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
     """(doc, size, crc, weight key columns): what the tree needs of each row, written once."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     text = F.col(f"`{text_col}`")
+    words = [d for d in dimensions if not isinstance(kinds[d], T.NumericType)]
+    edges = [f(F.col(f"`{d}`").cast("string")).alias(f"{n}{k}") for k, d in enumerate(words) for n, f in (("lo", F.min), ("hi", F.max))]
+    found = docs.agg(F.lit(0).alias("none"), *edges).first()
+    common = {d: shared_bytes(found[f"lo{k}"], found[f"hi{k}"]) for k, d in enumerate(words)}
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"),
         F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("group"),
-        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
-        *[F.coalesce(coordinate(kinds[d], F.col(f"`{d}`")), F.lit(-1.0)).alias(f"x{k}") for k, d in enumerate(dimensions)],
+        F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, *dimensions, text_col))]).alias("salt"),
+        *[F.coalesce(coordinate(kinds[d], F.col(f"`{d}`"), common.get(d, 0)), F.lit(-1.0)).alias(f"x{k}") for k, d in enumerate(dimensions)],
     )
     rows = materialize(rows)
     x = [f"x{k}" for k in range(len(dimensions))]
-    total = rows.agg(F.sum("size").alias("size"), F.max("size").alias("most"), *[F.min(c).alias(f"lo_{c}") for c in x], *[F.max(c).alias(f"hi_{c}") for c in x]).first()
+    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("size").alias("most"), *[F.min(c).alias(f"lo_{c}") for c in x], *[F.max(c).alias(f"hi_{c}") for c in x]).first()
     heavy = max((total["size"] or 0) // (64 * shards), 2 * (total["most"] or 0))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), *[F.min(c).alias(c) for c in x])
-    joined = rows.drop(*x).join(groups, "group")
+    groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in x]))
+    hot = groups.where(F.col("n") * HOT_SHARE > total["n"])  # fewer than HOT_SHARE groups, whatever the input
+    by_table = rows.drop(*x).join(F.broadcast(hot.drop("n")), "group")
+    others = rows.drop(*x).join(F.broadcast(hot.select("group")), "group", "left_anti")
+    joined = by_table.unionByName(others.join(groups.drop("n"), "group"))
     most = (1 << COORDINATE) - 1
     scaled = [F.floor((F.col(c) - F.lit(total[f"lo_{c}"] or 0.0)) / F.lit(max((total[f"hi_{c}"] or 0.0) - (total[f"lo_{c}"] or 0.0), 1e-9)) * most).cast("long").alias(c) for c in x]
     tie = F.shiftrightunsigned(F.when(F.col("bytes") > heavy, F.col("salt")).otherwise(F.col("group")), 64 - HASH)

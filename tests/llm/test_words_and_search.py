@@ -188,6 +188,23 @@ def test_a_group_that_outweighs_shards_is_split(spark):
     assert max(sizes) < 1.1 * min(sizes)
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(k, "same text " * 20, "en", f"https://example.org/{k % 7}", k % 5, "") for k in range(400)] + [(1000 + k, f"other {k} " * 20, "en", "https://example.net", 2, "") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    one, many = ({(r.doc_id, r.shard) for r in K.kd_shards(d, shards=4).collect()} for d in (df.coalesce(1), df.repartition(7)))
+    assert one == many and len(one) == 500
+
+
+def test_what_strings_share_is_no_coordinate():
+    assert K.shared_bytes("https://a", "https://b/c") == 8 and K.shared_bytes(None, "x") == 0 and K.shared_bytes("é", "è") == 1 and K.shared_bytes("ab", "abc") == 2
+
+
+def test_a_very_long_text_is_a_shard_of_its_own(spark):
+    got = shard(spark, [(0, "long " * 500_000, "en", "s", 1, "")] + [(k, f"short {k}", "en", "s", k, "") for k in range(1, 200)], shards=4)
+    alone = next(r for r in got if r.doc_id == 0)
+    assert alone.size == 2_500_001 and sum(r.shard == alone.shard for r in got) < 100 and len(got) == 200
+
+
 def test_few_rows_and_target_bytes(spark):
     assert [r.slot for r in shard(spark, [(1, "a", "en", "s", 1, "")], shards=8)] == [0]
     assert shard(spark, [], shards=8) == []
