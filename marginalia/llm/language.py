@@ -32,8 +32,10 @@ BITS, BLOCK = 14, 256
 #: Pseudo-counts: of a trigram, of a host's and a domain's prior, of what a declaration or suffix says. Trigrams of a
 #: text depend on each other, so their log-likelihood is tempered.
 TRIGRAM, HOST, DOMAIN, CLUE, TEMPER = 0.5, 8.0, 32.0, 4.0, 0.25
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|noscript)\b.*?</\1\s*>|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})")
+#: Elements whose content is not shown, and where they end.
+_HIDDEN = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "nav", "noscript")}
+_OPENS = re.compile(r"(?i)(script|style|nav|noscript)\b")
+_HTML, _LANG = re.compile(r"(?i)<html\b"), re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,8})")
 _SEEN = ["id", "host", "domain", "suffix", "declared", "text", "ll"]
 _ENTITY = re.compile(r"&[#\w]{1,10};")
 
@@ -108,7 +110,46 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def visible(html: str) -> str:
-    return _ENTITY.sub(" ", _DROP.sub(" ", html))
+    """The text outside of tags, comments and hidden elements; what never ends is no tag. One pass: what is not found from
+    one place on is not looked for again."""
+    out, at, never = [], 0, set()
+
+    def end_of(name: str, place: int) -> int:
+        """Where `name` next ends, or -1."""
+        if name in never:
+            return -1
+        if name in _HIDDEN:
+            found = _HIDDEN[name].search(html, place)
+            end = found.end() if found else -1
+        else:
+            found = html.find(name, place)
+            end = found + len(name) if found >= 0 else -1
+        if end < 0:
+            never.add(name)
+        return end
+
+    while (tag := html.find("<", at)) >= 0:
+        end = end_of("-->", tag + 4) if html.startswith("<!--", tag) else -1
+        if end < 0 and (opens := _OPENS.match(html, tag + 1)):
+            end = end_of(opens[1].lower(), opens.end())
+        if end < 0:
+            end = end_of(">", tag + 1)
+        if end < 0:
+            break
+        out += [html[at:tag], " "]
+        at = end
+    return _ENTITY.sub(" ", "".join([*out, html[at:]]))
+
+
+def declared_language(html: str) -> str:
+    """The primary subtag that an html tag declares, in lower case; empty if none does."""
+    at = 0
+    while found := _HTML.search(html, at):
+        at = html.find(">", found.end())
+        at = len(html) if at < 0 else at
+        if lang := _LANG.search(html, found.end(), at):
+            return lang[1].lower()
+    return ""
 
 
 def host_of(url: str | None) -> str:
@@ -126,7 +167,7 @@ def _evidence(block: object, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 html, urls = [h or "" for h in column(part, "html").to_pylist()], column(part, "url").to_pylist()
-                declared = [m[1].lower() if (m := _LANG.search(h)) else "" for h in html]
+                declared = [declared_language(h) for h in html]
                 hosts = [host_of(u) for u in urls]
                 texts = pa.array([visible(h) for h in html], pa.string())
                 ll = likelihoods(block.value, texts)
@@ -177,7 +218,8 @@ def identify(pages: DataFrame, model: Model, *, id_col: str = "page_id", url_col
     langs = F.array(*[F.lit(x) for x in model.langs])
     everything = seen.agg(*[F.sum(F.get("post", k)).alias(f"n{k}") for k in range(n)]).first()
     overall = F.array(*[F.lit(float(everything[k] or 0.0)) for k in range(n)])
-    out = seen.join(sums("host"), "host").join(sums("domain"), "domain").join(sums("declared"), "declared").join(sums("suffix"), "suffix")
+    # hosts and domains are written first: a join of plain rows can be split where one host has many pages
+    out = seen.join(materialize(sums("host")), "host").join(materialize(sums("domain")), "domain").join(sums("declared"), "declared").join(sums("suffix"), "suffix")
 
     total = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     less = lambda counts: F.transform(F.arrays_zip(F.col(counts).alias("c") if isinstance(counts, str) else counts.alias("c"), F.col("post").alias("p")), lambda z: F.greatest(F.lit(0.0), z["c"] - z["p"]))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,25 @@ def test_declared_language_is_the_whole_primary_subtag(spark):
     assert [got[k] for k in range(len(tags))] == list(tags.values())
 
 
+def test_broken_pages_take_linear_time():
+    assert L.visible("a<b>c</b><!-- x > --> d<script x>1<2</script >e<STYLE>s</style><nav>f</nav>&amp;g < h").split() == ["a", "c", "d", "e", "g", "<", "h"]
+    assert L.visible("<!-- never ends > a <script> b").split() == ["a", "b"]
+    for piece in ("<", "<!--", "<script ", "<html ", "<html lang", "</script ", "<!-- > "):
+        began = time.time()
+        L.visible(piece * 300_000), L.declared_language(piece * 300_000)
+        assert time.time() - began < 10
+
+
+def test_long_runs_of_blanks():
+    import public_tokenizers
+    import sentencepiece
+
+    tool = P.loaded(P.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.MODEL))
+    for text in (" " * 50_001, "  a" * 3000, "a" * 30_000, "=" * 20_001 + " x", "ab   " * 3000 + " " * 777):
+        assert np.frombuffer(tool.encode(text), np.int32).tolist() == library.encode(text)
+
+
 def test_all_languages_take_part(spark):
     # the last language has the fewest trigrams
     names = [f"{a}{b}" for a in "abcdefghijklm" for b in "abcdefghijklmnopqrst"]
