@@ -206,7 +206,7 @@ def test_all_languages_take_part(spark):
 def test_pipeline_cuts_passages_of_51_words(spark):
     random.seed(3)
     word = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    passages = [" ".join(word(n + k % 2) for k in range(51)) for n in (3, 4, 5)]
+    passages = [" ".join(word(n + k % 2) for k in range(51)) for n in (4, 5, 6)]
     assert [len(p) < 400 for p in passages] == [True] * 3
     fill = lambda: " ".join(word(7) for _ in range(80))
     texts = [f"{fill()}. {p}. {fill()}" for p in passages for _ in range(2)]
