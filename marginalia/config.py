@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class AuditConfig:
-    """Thresholds and weights; lengths are in characters."""
+    """Thresholds and weights; lengths are in characters. phrases: by category, in place of the lexicon's own."""
 
     max_matches: int = 3
     min_sentence_chars: int = 25
@@ -15,6 +15,7 @@ class AuditConfig:
     phrase_ngrams: tuple[int, int] = (3, 5)
     overlap_weights: dict[str, float] = field(default_factory=lambda: {"vector": 0.45, "lexical": 0.25, "rare": 0.25, "boilerplate": -0.15})
     rhetoric_weights: dict[str, float] = field(default_factory=lambda: {"phrase": 0.35, "thinness": 0.25, "shift": 0.20, "smoothness": 0.10, "classifier": 0.10})
+    phrases: dict[str, list[str]] | None = None
 
 
 #: Not configurable: characters of a corpus sentence and of a paragraph at least.

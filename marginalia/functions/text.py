@@ -226,10 +226,10 @@ def classifier(phrase: Column, thin: Column, shift: Column) -> Column:
     return clamp(phrase * 0.5 + thin * 0.3 + shift * 0.2)
 
 
-def matched_phrases(c: Column, category: str) -> Column:
+def matched_phrases(c: Column, category: str, lexicon: dict[str, list[str]] | None = None) -> Column:
     """The category's phrases that occur in the text, as substrings, in alphabetical order."""
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(p) for p in sorted(L.PHRASES[category])]), lambda p: F.coalesce(low.contains(p), F.lit(False)))
+    low, phrases = F.lower(c), sorted(set((lexicon or L.PHRASES)[category]))
+    return F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.coalesce(low.contains(p), F.lit(False)))
 
 
 def two_decimals(x: Column) -> Column:

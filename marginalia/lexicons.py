@@ -1,5 +1,7 @@
 """Fixed values that scores depend on: word lists, phrases, TeX names. They are data and must stay as they are."""
 
+import json
+
 STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the their this to was we with".split()
 
 ABSTRACT_WORDS = (
@@ -44,3 +46,12 @@ CANONICAL = {
 #: TeX environments that are replaced whole, in this order, and commands that yield their argument.
 BLOCK_ENVIRONMENTS = "equation equation* align align* gather gather* multline multline* figure figure* table table* tikzpicture lstlisting verbatim".split()
 INLINE_COMMANDS = "emph textbf textit underline textrm textsf texttt mbox url href".split()
+
+
+def read_phrases(path: str) -> dict[str, list[str]]:
+    """Phrases by category from a JSON file, an object of lists of texts."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict) or not all(isinstance(v, list) and all(isinstance(p, str) for p in v) for v in found.values()):
+        raise ValueError(f"{path} is not an object of lists of phrases")
+    return found

@@ -45,18 +45,26 @@ def style(rows: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame
     return rows.withColumns({"style_shift": F.when(n > 0, shift).otherwise(0.0), "smoothness": F.when(n > 0, smooth).otherwise(0.0)}).drop("_near")
 
 
-def phrase_hits(rows: DataFrame) -> DataFrame:
-    """Adds phrases, categories (canonical names) and a score for each category: half a point a hit, at most 1."""
-    hits = {c: X.matched_phrases(F.col("text"), c) for c in L.PHRASES}
-    rows = rows.withColumns({f"_{c}": h for c, h in hits.items()})
-    score = lambda c: F.least(F.lit(1.0), F.size(f"_{c}") / 2.0)
-    names = F.array(*[F.when(F.size(f"_{c}") > 0, F.lit(L.CANONICAL[c])) for c in L.PHRASES])
+def phrase_hits(rows: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds phrases, categories (canonical names) and a score for each category: half a point a hit, at most 1.
+
+    Categories of a lexicon of one's own that have no canonical name are listed under theirs and have no score."""
+    lexicon = L.PHRASES if lexicon is None else lexicon
+    if not lexicon:
+        none = F.array().cast("array<string>")
+        return rows.withColumns({"phrases": none, "categories": none, **{c: F.lit(0.0) for c in CATEGORIES[:-1]}})
+    names = {c: f"_hits{k}" for k, c in enumerate(lexicon)}
+    rows = rows.withColumns({n: X.matched_phrases(F.col("text"), c, lexicon) for c, n in names.items()})
+    score = lambda c: F.least(F.lit(1.0), F.size(names[c]) / 2.0) if c in names else F.lit(0.0)
+    found = F.array(*[F.when(F.size(n) > 0, F.lit(L.CANONICAL.get(c, c))) for c, n in names.items()])
     return rows.withColumns({
-        "phrases": F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_{c}") for c in L.PHRASES])))),
-        "categories": F.array_sort(F.array_distinct(F.array_compact(names))),
-        "empty_transition": score("empty_transition"), "framework_boilerplate": score("framework_boilerplate"),
-        "unsupported_confidence": F.greatest(score("unsupported_confidence"), score("novelty_inflation")), "balanced_summary": score("balanced_but_empty_summary"),
-    }).drop(*[f"_{c}" for c in L.PHRASES])
+        "phrases": F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n) for n in names.values()])))),
+        "categories": F.array_sort(F.array_distinct(F.array_compact(found))),
+        "empty_transition": score("empty_transition"),
+        "framework_boilerplate": score("framework_boilerplate"),
+        "unsupported_confidence": F.greatest(score("unsupported_confidence"), score("novelty_inflation")),
+        "balanced_summary": score("balanced_but_empty_summary"),
+    }).drop(*names.values())
 
 
 CATEGORIES = ("empty_transition", "framework_boilerplate", "unsupported_confidence", "balanced_summary", "low_specificity")
@@ -64,8 +72,9 @@ CATEGORIES = ("empty_transition", "framework_boilerplate", "unsupported_confiden
 
 def rhetoric_scores(rows: DataFrame, config: AuditConfig | None = None) -> DataFrame:
     """rows (doc_id, ord, text, ...) with all features, phrase_score, classifier, rhetoric and finding_summary."""
-    w = (config or AuditConfig()).rhetoric_weights
-    rows = phrase_hits(style(token_features(rows)))
+    config = config or AuditConfig()
+    w = config.rhetoric_weights
+    rows = phrase_hits(style(token_features(rows)), config.phrases)
     rows = rows.withColumn("phrase_score", F.least(F.lit(1.0), F.size("phrases") / 3.0))
     rows = rows.withColumn("classifier", X.classifier(F.col("phrase_score"), F.col("thinness"), F.col("style_shift")))
     score = w["phrase"] * F.col("phrase_score") + w["thinness"] * F.col("thinness") + w["shift"] * F.col("style_shift") + w["smoothness"] * F.col("smoothness") + w["classifier"] * F.col("classifier")

@@ -276,9 +276,15 @@ def section_runs(spark: SparkSession, d: str) -> DataFrame:
     return review.section_runs(tex.sentences(conversation_paragraphs(spark, d, by_role=True))).select("doc_id", "ord", "section", "run")
 
 
-@query(f"""{CONV} select doc_id, sentence_id, text as clean_text, cast(round(cast(overlap as decimal(20, 12)), 4) as double) as overlap_score, cast(round(cast(rhetoric as decimal(20, 12)), 4) as double) as rhetoric_score, array_to_string(phrases, '; ') as phrases, array_to_string(categories, '; ') as categories, finding_summary, coalesce(match_label, '') as match_label, coalesce(match_text, '') as match_text from fact""")
+@query(f"""{CONV} select doc_id, sentence_id, text as clean_text, cast(round(cast(overlap as decimal(20, 12)), 4) as double) as plagiarism_risk_score, cast(round(cast(rhetoric as decimal(20, 12)), 4) as double) as ai_rhetoric_risk_score, array_to_string(phrases, '; ') as triggered_phrases, array_to_string(categories, '; ') as triggered_categories, finding_summary, coalesce(match_label, '') as top_match_label, coalesce(match_text, '') as top_match_text, 'Untitled' as section, '' as subsection from fact""")
 def flat_export(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.flat_table(stable(conversation_audit(spark, d)).facts).drop("section", "subsection")
+    return sinks.flat_table(stable(conversation_audit(spark, d)).facts).withColumns({c: F.coalesce(c, F.lit("")) for c in ("section", "subsection")})
+
+
+@query(f"""{CONV_REV} select doc_id, cast(doc_id as varchar) as title, cast(doc_id as varchar) as input_name, count(*)::bigint as sentence_count, count(distinct paragraph_id)::bigint as paragraph_count from rev group by doc_id""")
+def review_documents(spark: SparkSession, d: str) -> DataFrame:
+    a = stable(conversation_audit(spark, d))
+    return sinks.document_cards(a.docs, a.review_rows).drop("sections").where("sentence_count > 0")
 
 
 # ---- what the tables cannot exercise: literal rows

@@ -84,7 +84,7 @@ def test_unsafe_archives(kind, name, member):
 
 
 def test_uploads_of_other_kinds():
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="known kind"):
         list(archives.members("a.rar", b""))
     assert list(archives.members("x/a.tex", b"t")) == [("a.tex", b"t")]
     assert archives.decoded(b"\xe9") == "é"
@@ -122,7 +122,8 @@ def test_command_line(spark, tmp_path):
     main([str(tmp_path / "in"), "--corpus", str(tmp_path / "lit"), "--out", str(tmp_path / "out")])
     (row,) = spark.read.parquet(str(tmp_path / "out" / "review")).collect()
     found = json.loads(row.payload)
-    assert row.doc_id == "paper" and found["rows"][0]["matches"][0]["source_label"] == "x" and found["outline"][0]["label"] == "A" and len(found["spans"]) == 1
+    assert row.doc_id == "paper" and found["rows"][0]["matches"][0]["source_label"] == "x" and found["outline"][0]["label"] == "A" and len(found["suspicious_spans"]) == 1
+    assert found["document"] == {"title": "Paper", "input_name": "paper", "sentence_count": 1, "paragraph_count": 1} and found["filters"]["sections"] == ["A"] and found["summary"]["sentence_count"] == 1 and "caveat" in found["legend"] and found["metrics"]["external_match_count"] == 1
 
 
 def test_places_of_all_sentences_against_a_loop(spark, tmp_path):
@@ -139,3 +140,38 @@ def test_places_of_all_sentences_against_a_loop(spark, tmp_path):
             want.append((k, n, max(start, 0), max(start + len(sentence), 0)))
     got = Q.QUERIES["sentence_places"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_lexicon_of_ones_own(spark, tmp_path):
+    from marginalia.lexicons import read_phrases
+    from marginalia.operators.rhetoric import phrase_hits
+
+    (tmp_path / "l.json").write_text('{"empty_transition": ["so to say", "in a word"], "house_style": ["at our house"]}')
+    (tmp_path / "bad.json").write_text('["x"]')
+    rows = spark.createDataFrame([("So to say, at our house.",), ("Moreover, nothing.",)], "text string")
+    got = {r.text: r for r in phrase_hits(rows, read_phrases(str(tmp_path / "l.json"))).collect()}
+    assert got["So to say, at our house."].categories == ["empty_transition", "house_style"] and got["So to say, at our house."].empty_transition == 0.5
+    assert got["Moreover, nothing."].phrases == []
+    assert phrase_hits(rows, {}).first().phrases == []
+    with pytest.raises(ValueError, match="lists of phrases"):
+        read_phrases(str(tmp_path / "bad.json"))
+
+
+def test_uploads_that_are_refused(spark, tmp_path, monkeypatch):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "paper.tex").write_text(f"text of {folder}")
+    (tmp_path / "b" / "notes.doc").write_text("x")
+    with pytest.raises(ValueError, match="notes.doc"):
+        archives.read_uploads(spark, str(tmp_path))
+    got = archives.unpack_uploads(archives.read_uploads(spark, str(tmp_path), skip_refused=True)).collect()
+    assert sorted((r.path, r.text) for r in got) == [("paper.tex", "text of a"), ("paper.tex", "text of b")] and len({r.doc_id for r in got}) == 2
+    monkeypatch.setattr(archives, "MAX_BYTES", 3)
+    assert archives.refused_uploads(spark, str(tmp_path)).count() == 3
+    monkeypatch.setattr(archives, "MAX_BYTES", 1 << 20)
+    monkeypatch.setattr(archives, "MAX_UNPACKED", 10)
+    blob = __import__("io").BytesIO()
+    with __import__("zipfile").ZipFile(blob, "w") as z:
+        z.writestr("a.tex", "x" * 11)
+    with pytest.raises(ValueError, match="10 bytes"):
+        list(archives.members("z.zip", blob.getvalue()))
