@@ -1,5 +1,6 @@
 """Quality, pieces, pseudo-likelihood, language and the pipeline."""
 
+import collections
 import itertools
 import random
 import time
@@ -15,6 +16,7 @@ from marginalia.llm import language as L
 from marginalia.llm import pieces as P
 from marginalia.llm import pseudo_lm as M
 from marginalia.llm import quality as Q
+from marginalia.llm.words import words as words_of
 
 
 def test_line_figures_by_hand():
@@ -120,23 +122,68 @@ def test_words_of_one_bucket_keep_their_own_counts(spark, monkeypatch):
     assert len(got) == 5 and [by[2], by[3], by[4]] == pytest.approx([by[1] + np.log(3)] * 3)
 
 
+def plain_scores(texts, voc, flat):
+    """The summed log-probabilities, word by word in plain loops, with the counts of the very texts."""
+    fields, at = {}, 0
+    for name, shape in M._FIELDS:
+        size = int(np.prod(shape))
+        fields[name] = flat[at : at + size].astype(float).reshape(shape)
+        at += size
+    words = [words_of(pa.array([t], pa.string()))[0] for t in texts]
+    counts = collections.Counter(int(w) for ws in words for w in ws)
+    out = []
+    for ws in words:
+        entry, score = voc.entries(ws).tolist(), 0.0
+        for k, e in enumerate(entry):
+            h = fields["hidden"].copy()
+            for p, d in enumerate((-2, -1, 1, 2)):
+                h += fields["embeddings"][entry[k + d] if 0 <= k + d < len(entry) else M.ENTRIES] @ fields["places"][p]
+            h = np.tanh(h)
+            c, m = divmod(e, M.MEMBERS)
+            kinds = np.exp(voc.classes + fields["class_bias"] + h @ fields["to_class"])
+            members = np.exp(voc.members[c] + fields["to_member"][c * M.MEMBERS : (c + 1) * M.MEMBERS] @ h)
+            score += np.log(kinds[c] / kinds.sum()) + np.log(members[m] / members.sum())
+            if voc.is_bucket[e]:
+                bucket = sum(n for w, n in counts.items() if voc.entries(np.array([w], np.uint64))[0] == e)
+                score += np.log(counts[int(ws[k])] / bucket)
+        out.append(score)
+    return out
+
+
+def test_scores_equal_a_plain_version_whatever_the_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(M, "FREQUENT", 64)
+    monkeypatch.setattr(M, "SHARD_WORDS", 2000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60 and length(text) < 1500")
+    rows = docs.unionByName(spark.createDataFrame([(-1, "x1 x2 x1"), (-2, None), (-3, "x1 " * 3000)], docs.schema)).select(F.col("doc_id").alias("id"), "text")
+    entries, _, total = M.count_vocabulary(rows.select("text"))
+    sent = spark.sparkContext.broadcast(entries)
+    assert total // 2000 >= 2
+    flat = M.train(rows.repartition(5), sent, total)
+    assert np.abs(flat - M.train(rows.coalesce(1), sent, total)).max() < 1e-5 and np.abs(flat - M.Network(entries).flat).max() > 0.01
+    texts = {r.id: r.text for r in rows.collect()}
+    want = dict(zip(texts, plain_scores(list(texts.values()), entries, flat), strict=True))
+    for parts in (2, 16):
+        got = {r.id: r.log_likelihood for r in M.score(rows.repartition(parts), id_col="id").collect()}
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_vocabulary_is_a_distribution_and_the_network_learns():
-    seq = np.tile(np.arange(40, dtype=np.uint64), 500)
+    rng = np.random.default_rng(1)
+    seq = np.cumsum(rng.integers(1, 3, 60_000)).astype(np.uint64) % np.uint64(700)  # each word leaves two for the next
     keys, n = np.unique(seq, return_counts=True)
-    zero = np.zeros(M.BUCKETS, np.int64)
-    voc = M.Vocabulary(keys, n, zero, zero)
-    mass = np.bincount(voc.of, np.exp(voc.log), M.CLASSES)
-    assert mass[mass > 0] == pytest.approx(1, rel=1e-4)
-    y = voc.of[voc.entries(seq)]
-    x = M.contexts(y, np.array([0, len(y)]))
-    net = M.Network()
-    before = net.log_probability(x, y).mean()
-    for _ in range(30):
-        for s in range(19):
-            net.step(x[:, s::19], y[s::19], 2.0)
-    assert net.log_probability(x, y).mean() > before + 0.5
-    p = np.exp([net.log_probability(x[:, :5], np.full(5, c)) for c in range(M.CLASSES)]).sum(axis=0)
-    assert p == pytest.approx(np.ones(5), rel=1e-4)
+    voc = M.Vocabulary(keys, n, np.zeros(M.BUCKETS, np.int64))
+    assert np.exp(voc.classes).sum() == pytest.approx(1, rel=1e-4) and np.exp(voc.members[:2]).sum(axis=1) == pytest.approx([1, 1], rel=1e-4)
+    y = voc.entries(seq)
+    x = M.contexts(y, np.array([0, 50_000, len(y)]))
+    net = M.Network(voc)
+    held = slice(50_000, None)
+    unigram = net.log_probability(x[:, held], y[held]).mean()
+    assert unigram == pytest.approx(np.log(1 / 700), abs=0.1)
+    M.learn(net, np.column_stack([y[:50_000], x[:, :50_000].T]).astype(np.uint16).repeat(6, axis=0))
+    assert net.log_probability(x[:, held], y[held]).mean() > unigram + 0.5
+    every = np.arange(M.ENTRIES)
+    p = np.exp(net.log_probability(np.repeat(x[:, 70:71], M.ENTRIES, axis=1), every)).sum()
+    assert p == pytest.approx(1, rel=1e-3)
 
 
 PAGES = [
