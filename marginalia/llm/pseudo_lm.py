@@ -36,8 +36,9 @@ from .words import words
 WINDOW, CLASSES, MEMBERS, WIDTH = 2, 128, 256, 16
 ENTRIES = CLASSES * MEMBERS
 FREQUENT = BUCKETS = ENTRIES // 2
-#: One word in MASKED is learnt; words of the corpus in a training shard; words of a step; learning rate.
-MASKED, SHARD_WORDS, STEP, RATE = 4, 1 << 22, 4096, 0.2
+#: One word in MASKED is learnt; words of the corpus in a training shard; words of a step; learning rate; the largest
+#: weight, with which a logit stays below 88, where 32-bit floats end.
+MASKED, SHARD_WORDS, STEP, RATE, BOUND = 4, 1 << 22, 8192, 0.25, 5.0
 _FIELDS = (
     ("embeddings", (ENTRIES + 1, WIDTH)),
     ("places", (2 * WINDOW, WIDTH, WIDTH)),
@@ -89,9 +90,17 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield c, some
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Of each row of logits (overwritten) the log of the softmax at one place. Logits are bounded, so exp can't overflow."""
+    out = x[np.arange(len(x)), pick]
+    return out - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def blame(x: np.ndarray, pick: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of a mean over n of minus log_share by the logits (overwritten)."""
+    np.exp(x, out=x)
+    x *= (1 / (n * x.sum(axis=1)))[:, None]
+    x[np.arange(len(x)), pick] -= np.float32(1 / n)
     return x
 
 
@@ -123,7 +132,9 @@ class Network:
         return h @ self.to_class + (self.class_bias + self.vocabulary.classes)
 
     def member_logits(self, h: np.ndarray, c: int) -> np.ndarray:
-        return h @ self.to_member[c * MEMBERS : (c + 1) * MEMBERS].T + self.vocabulary.members[c]
+        out = h @ self.to_member[c * MEMBERS : (c + 1) * MEMBERS].T
+        out += self.vocabulary.members[c]
+        return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
@@ -133,11 +144,11 @@ class Network:
             lp = np.empty(len(some))
             for lo in range(0, len(some), STEP):
                 kinds = some[lo : lo + STEP] // MEMBERS
-                lp[lo : lo + STEP] = log_softmax(self.class_logits(h[lo : lo + STEP]))[np.arange(len(kinds)), kinds]
+                lp[lo : lo + STEP] = log_share(self.class_logits(h[lo : lo + STEP]), kinds)
             for c, rows in by_class(some):
                 for lo in range(0, len(rows), STEP):
                     r = rows[lo : lo + STEP]
-                    lp[r] += log_softmax(self.member_logits(h[r], c))[np.arange(len(r)), some[r] - c * MEMBERS]
+                    lp[r] += log_share(self.member_logits(h[r], c), some[r] - c * MEMBERS)
             out[at : at + (1 << 16)] = lp
         return out
 
@@ -146,22 +157,18 @@ class Network:
         squares = self.views[name]
         seen = squares[rows] + gradient * gradient
         squares[rows] = seen
-        getattr(self, name)[rows] -= RATE * gradient / np.sqrt(seen)
+        getattr(self, name)[rows] = np.clip(getattr(self, name)[rows] - RATE * gradient / np.sqrt(seen), -BOUND, BOUND)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """One step down the mean cross-entropy of a block of words."""
         n, h = len(target), self.forward(context)
-        p = np.exp(log_softmax(self.class_logits(h)))
-        p[np.arange(n), target // MEMBERS] -= 1
-        p /= n
+        p = blame(self.class_logits(h), target // MEMBERS, n)
         back = p @ self.to_class.T
         self.move("to_class", h.T @ p)
         self.move("class_bias", p.sum(axis=0))
         for c, rows in by_class(target):
             mine = h[rows]
-            p = np.exp(log_softmax(self.member_logits(mine, c)))
-            p[np.arange(len(rows)), target[rows] - c * MEMBERS] -= 1
-            p /= n
+            p = blame(self.member_logits(mine, c), target[rows] - c * MEMBERS, n)
             members = slice(c * MEMBERS, (c + 1) * MEMBERS)
             back[rows] += p @ self.to_member[members]
             self.move("to_member", p.T @ mine, members)
@@ -247,7 +254,7 @@ def _train(vocabulary: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
         examples = np.frombuffer(b"".join(ordered.examples), np.uint16).reshape(-1, 1 + 2 * WINDOW)
         learn(network, examples)
         n = len(examples)
-        blocks = [(int(rows.shard.iloc[0]), k, n, (network.flat[at : at + _BLOCK] * np.float64(n)).tobytes()) for k, at in enumerate(range(0, len(network.flat), _BLOCK))]
+        blocks = [(int(rows.shard.iloc[0]), k, n, (network.flat[at : at + _BLOCK] * np.float32(n)).tobytes()) for k, at in enumerate(range(0, len(network.flat), _BLOCK))]
         return pd.DataFrame(blocks, columns=["shard", "block", "n", "total"])
 
     return run
@@ -256,7 +263,7 @@ def _train(vocabulary: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """The sum of some shards' blocks, in a fixed order."""
     rows = rows.sort_values("shard")
-    total = np.sum([np.frombuffer(x, np.float64) for x in rows.total], axis=0)
+    total = np.sum([np.frombuffer(x, np.float32) for x in rows.total], axis=0, dtype=np.float64).astype(np.float32)
     return pd.DataFrame([(int(rows.part.iloc[0]), int(rows.block.iloc[0]), int(rows.n.sum()), total.tobytes())], columns=["shard", "block", "n", "total"])
 
 
@@ -273,7 +280,7 @@ def train(rows: DataFrame, vocabulary: object, total: int) -> np.ndarray:
     whole = parts.withColumn("part", F.lit(0)).groupBy("part", "block").applyInPandas(_summed, schema)
     flat = Network(vocabulary.value).flat
     for r in whole.toLocalIterator():
-        block = np.frombuffer(r.total, np.float64) / r.n
+        block = np.frombuffer(r.total, np.float32) / r.n
         flat[r.block * _BLOCK : r.block * _BLOCK + len(block)] = block
     return flat
 
