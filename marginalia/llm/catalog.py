@@ -10,7 +10,6 @@ from . import decontaminate, kd_shards, language, near_dups, pieces, pseudo_lm,
 from .scratch import small_batches
 
 
-
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
 
@@ -29,4 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_decontamination": decontaminate.OP1_SQL, "op2_segment_topk": topk.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_decontamination": decontaminate.OP1_SQL,
+    "op2_segment_topk": topk.OP2_SQL,
+    "op10_suffix_array_dedup": suffix_dedup.OP10_SQL,
+}

@@ -368,3 +368,16 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = """
+with d as materialized (select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as b from documents),
+w as materialized (select rid, p, md5(b[p:p + 399]) as k from (select rid, b, unnest(range(1, octet_length(b) - 398)) as p from d where octet_length(b) >= 400)),
+hit as (select rid, p from w where k in (select k from w group by k having count(*) > 1)),
+cut as (select rid, p, case when p <= lag(p) over (partition by rid order by p) + 400 then 0 else 1 end as new from hit),
+run as (select rid, min(p) as s, max(p) + 399 as e from (select rid, p, sum(new) over (partition by rid order by p) as n from cut) group by rid, n),
+gap as (select rid, s, e, coalesce(lag(e) over (partition by rid order by s), 0) as before from run),
+kept as (select g.rid, count(*) as n_spans, sum(e - s + 1) as n_removed, string_agg(case when s > before + 1 then hex(b[before + 1:s - 1]) else '' end, '' order by s) || case when max(e) < octet_length(any_value(b)) then hex(any_value(b)[max(e) + 1:octet_length(any_value(b))]) else '' end as rest
+  from gap g join d on d.rid = g.rid group by g.rid)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(unhex(rest), b)) as kept_sha256
+from d left join kept using (rid)"""
