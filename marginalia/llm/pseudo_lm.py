@@ -47,7 +47,7 @@ _FIELDS = (
     ("class_bias", (CLASSES,)),
     ("to_member", (ENTRIES, WIDTH)),
 )
-_BLOCK = 1 << 12
+_BLOCK, _ROWS = 1 << 12, 512
 
 
 class Vocabulary:
@@ -137,18 +137,30 @@ class Network:
         return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target))
+        """Of each target in its context. What doesn't depend on them is worked out once, buffers are used again."""
+        around = [self.embeddings @ place for place in self.places]
+        around[0] += self.hidden
+        # a column of ones beside h adds the logs of the counts
+        classes = np.vstack([self.to_class, self.class_bias + self.vocabulary.classes])
+        members = np.column_stack([self.to_member, self.vocabulary.members.ravel()])
+        buffer, out = np.empty((_ROWS, max(CLASSES, MEMBERS)), np.float32), np.empty(len(target))
         for at in range(0, len(target), 1 << 16):
-            some, around = target[at : at + (1 << 16)], context[:, at : at + (1 << 16)]
-            h = self.forward(around)
+            some = target[at : at + (1 << 16)]
+            h = np.ones((len(some), WIDTH + 1), np.float32)
+            inner = around[0][context[0, at : at + (1 << 16)]]
+            for p in range(1, 2 * WINDOW):
+                inner += around[p][context[p, at : at + (1 << 16)]]
+            np.tanh(inner, out=h[:, :WIDTH])
             lp = np.empty(len(some))
-            for lo in range(0, len(some), STEP):
-                kinds = some[lo : lo + STEP] // MEMBERS
-                lp[lo : lo + STEP] = log_share(self.class_logits(h[lo : lo + STEP]), kinds)
+            for lo in range(0, len(some), _ROWS):
+                mine = h[lo : lo + _ROWS]
+                x = np.matmul(mine, classes, out=buffer.ravel()[: len(mine) * CLASSES].reshape(len(mine), CLASSES))
+                lp[lo : lo + _ROWS] = log_share(x, some[lo : lo + _ROWS] // MEMBERS)
             for c, rows in by_class(some):
-                for lo in range(0, len(rows), STEP):
-                    r = rows[lo : lo + STEP]
-                    lp[r] += log_share(self.member_logits(h[r], c), some[r] - c * MEMBERS)
+                for lo in range(0, len(rows), _ROWS):
+                    r = rows[lo : lo + _ROWS]
+                    x = np.matmul(h[r], members[c * MEMBERS : (c + 1) * MEMBERS].T, out=buffer.ravel()[: len(r) * MEMBERS].reshape(len(r), MEMBERS))
+                    lp[r] += log_share(x, some[r] - c * MEMBERS)
             out[at : at + (1 << 16)] = lp
         return out
 
