@@ -2,8 +2,10 @@
 
 Every shard (a slice of whole documents) gets a suffix array over its words. Each suffix of the test texts is looked up
 in it by binary search; the interval found gives every verbatim occurrence and its place, and occurrences that follow
-each other are joined to longest matches. No shuffle: shards never exchange rows, and only the test texts travel. They
-travel in blocks of at most `block_bytes`; more of them means more map-only passes, never a larger broadcast.
+each other are joined to longest matches. No shuffle: shards never exchange rows, and only the test texts travel, as
+blocks of at most `block_bytes`. A pass carries PASS_BLOCKS of them: each batch of documents builds its suffix arrays
+once and looks the blocks up in turn, so a worker holds the windows of one block at a time. Test texts beyond a pass
+take further map-only passes, never a larger broadcast.
 
 Defined results: a null or empty text has no words, is never contaminated and no item; repeated documents are judged
 each; rows of an item that share an id count as one item, a null id makes its windows hit but is not listed; empty
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import column, materialize, mix, pack, slices, unpack, with_columns_of
+from .scratch import column, materialize, mix, pack, slices, small_batches, unpack, with_columns_of
 from .words import words
 
-#: Test text that is sent to the executors at a time.
+#: Test text whose windows a worker holds at a time.
 BLOCK_BYTES = 2 << 20
+#: Blocks that are sent to the executors at a time.
+PASS_BLOCKS = 16
 _HITS = "item:string,item_null:boolean,at:long,words:long,item_at:long"
 
 
@@ -116,12 +120,12 @@ def intervals(order: np.ndarray, text: np.ndarray, keys: np.ndarray, length: np.
     return bound(False), bound(True)
 
 
-def matches(fp: np.ndarray, offsets: np.ndarray, probes: Probes) -> tuple[np.ndarray, ...]:
-    """Longest runs of words that a text shares with an item: text, word there, words, item, word in the item."""
+def matches(order: np.ndarray, text: np.ndarray, offsets: np.ndarray, probes: Probes) -> tuple[np.ndarray, ...]:
+    """Longest runs of words that a text of a suffix array shares with an item: text, word there, words, item, word in
+    the item."""
     none = (np.zeros(0, np.int64),) * 5
-    if not len(fp) or not len(probes.keys):
+    if not offsets[-1] or not len(probes.keys):
         return none
-    order, text = suffix_array(fp, offsets, probes.window)
     low, high = intervals(order, text, probes.keys, probes.length)
     count = high - low
     found = np.flatnonzero(count)
@@ -144,40 +148,54 @@ def matches(fp: np.ndarray, offsets: np.ndarray, probes: Probes) -> tuple[np.nda
     return doc[first], place[first] - offsets[doc[first]], place[last] - place[first] + width[first], item[first], item_at[first]
 
 
-def _search(probes: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Block = list[tuple[str | None, str | None]]
+
+
+def _search(blocks: object, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Probes(blocks.value[0], window) if len(blocks.value) == 1 else None
         for batch in batches:
             texts = column(batch, "text")
+            shards = []
             for at, to in slices(texts):
-                part = batch.slice(at, to - at)
-                fp, off = words(column(part, "text"))
-                doc, place, n, item, item_at = matches(fp, off, probes.value)
-                hits = [x or [] for x in column(part, "hits").to_pylist()]
-                for k in range(len(doc)):
-                    name = probes.value.names[item[k]]
-                    hits[doc[k]].append({"item": name or "", "item_null": name is None, "at": int(place[k]), "words": int(n[k]), "item_at": int(item_at[k])})
-                counts = np.diff(off)
-                cols = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, batch.schema.field("hits").type)}
-                yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else part.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema)
+                fp, off = words(texts.slice(at, to - at))
+                shards.append((at, off, *suffix_array(fp, off, window)))
+            hits = [x or [] for x in column(batch, "hits").to_pylist()]
+            for block in blocks.value:
+                probes = held or Probes(block, window)
+                for first, off, order, text in shards:
+                    doc, place, n, item, item_at = matches(order, text, off, probes)
+                    for k in range(len(doc)):
+                        name = probes.names[item[k]]
+                        hits[first + doc[k]].append({"item": name or "", "item_null": name is None, "at": int(place[k]), "words": int(n[k]), "item_at": int(item_at[k])})
+            counts = np.concatenate([np.zeros(0, np.int64), *[np.diff(off) for _, off, _, _ in shards]])
+            cols = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, batch.schema.field("hits").type)}
+            yield pa.RecordBatch.from_arrays([cols.get(f.name, batch.column(k)) for k, f in enumerate(batch.schema)], schema=batch.schema)
 
     return run
 
 
+def _passes(items: DataFrame, block_bytes: int) -> Iterator[list[Block]]:
+    """The items (item, text) in blocks by hash, as many at a time as a pass carries; the driver holds no more."""
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, -(-size * 2 // block_bytes)) if size > block_bytes else 1
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for at in range(0, n, PASS_BLOCKS):
+        found: list[Block] = [[] for _ in range(min(PASS_BLOCKS, n - at))]
+        for r in items.select("item", "text", block.alias("block")).where(block.between(at, at + PASS_BLOCKS - 1)).toLocalIterator():
+            found[r.block - at].append((r.item, r.text))
+        yield found
+
+
 def find_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """Per document: id, n_words and hits, the longest verbatim matches of at least `window` words with any item, as
     structs (item, at, words, item_at); an item of fewer words matches whole."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)  # a batch's suffix arrays are held together
     items = with_columns_of(items, item=item_col, text=item_text_col).select(F.col("item").cast("string"), "text").where(F.col("text").isNotNull()).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size * 2 // block_bytes)) if size > block_bytes else 1
     out = with_columns_of(docs, id=id_col, text=text_col).select("id", "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<struct<{_HITS}>>)").alias("hits"))
     schema = out.schema
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        probes = spark.sparkContext.broadcast(Probes([(r.item, r.text) for r in block.toLocalIterator()], window))
-        out = out.mapInArrow(_search(probes), schema)
-        if b + 1 < blocks:
-            out = materialize(out)
+    for k, blocks in enumerate(_passes(items, block_bytes)):
+        out = (materialize(out) if k else out).mapInArrow(_search(spark.sparkContext.broadcast(blocks), window), schema)
     return out.select(F.col("id").alias(id_col), *[F.col("text").alias(text_col)] * keep_text, "n_words", "hits")
 
 

@@ -72,6 +72,22 @@ def test_decontamination(spark, block_bytes):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
 
 
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    random.seed(6)
+    some = lambda n: " ".join(random.choices("alpha beta gamma delta".split(), k=n))
+    items = [(k, some(14)) for k in range(30)]
+    docs = [(k, some(40) + " " + items[k % 30][1]) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    carried = [[len(b) for b in p] for p in D._passes(bench.selectExpr("cast(item_id as string) as item", "text"), 600)]
+    monkeypatch.setattr(D, "PASS_BLOCKS", 3)
+    passes = list(D._passes(bench.selectExpr("cast(item_id as string) as item", "text"), 600))
+    assert len(carried) == 1 and len(passes) > 2 and max(map(len, passes)) == 3
+    assert sorted(r for p in passes for b in p for r in b) == sorted((str(k), t) for k, t in items)
+    got = D.contamination(df, bench, block_bytes=600).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_contamination(docs, items)
+
+
 def test_longest_match_and_its_place(spark):
     item = " ".join(f"w{k}" for k in range(40))
     text = "before it " + " ".join(f"w{k}" for k in range(5, 30)) + " after " + " ".join(f"w{k}" for k in range(14))
