@@ -18,7 +18,7 @@ from ..config import MIN_PARAGRAPH_CHARS
 from ..functions import text as X
 
 _INCLUDE = re.compile(r"\\(?:input|include)\{([^}]+)\}")
-_BLOCK = r"(?s)\S(?:.*?\S)?(?=\n(?U:\s*)\n|\n?\z)"
+_BLOCK = r"(?s)\G(?U:\s*+)\S(?:.*?\S)?(?=\n(?U:\s*)\n|\n?\z)"
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
@@ -87,18 +87,12 @@ def body(text: Column) -> Column:
 def blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block, raw, start, end) of (doc_id, text): runs of text between blank lines, with their places."""
     text = X.normalize_newlines(F.col("text"))
-    whole = docs.select("doc_id", text.alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(_BLOCK), 0))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("all"))
-
-    # a block begins at the first non-blank after the one before it
-    def step(state: Column, raw: Column) -> Column:
-        rest = F.substring(F.col("text"), state["end"] + 1, F.length("text"))
-        start = state["end"] + F.length(rest) - F.length(F.regexp_replace(rest, r"(?U)\A\s+", ""))
-        item = F.struct(raw.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("end"))
-        return F.struct((start + F.length(raw)).alias("end"), F.concat(state["all"], F.array(item)).alias("all"))
-
-    placed = whole.withColumn("all", F.aggregate("found", zero, step, lambda s: s["all"]))
-    return placed.select("doc_id", F.posexplode("all").alias("block", "b")).select("doc_id", "block", "b.raw", "b.start", "b.end")
+    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))).alias("block", "found"))
+    # what is found has the blanks before it, so all of it, one after the other, is the text
+    so_far = W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumn("end", F.sum(F.length("found")).over(so_far).cast("int"))
+    found = found.withColumn("raw", F.regexp_replace("found", r"(?U)\A\s+", ""))
+    return found.select("doc_id", "block", "raw", (F.col("end") - F.length("raw")).alias("start"), "end")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def test_blocks_have_their_places(spark):
     assert all(text[r.start : r.end] == r.raw for r in found)
 
 
+def test_places_of_very_many_blocks_and_blanks(spark):
+    text = "\n" * 50_000 + "\n \n".join(f"Block é {k}\nof two lines." for k in range(50_000)) + "\n\n" + " " * 50_000
+    found = tex.blocks(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n\n ")], "doc_id int, text string")).orderBy("block").collect()
+    assert len(found) == 50_000 and [r.block for r in found] == list(range(50_000))
+    assert all(text[r.start : r.end] == r.raw == f"Block é {r.block}\nof two lines." for r in found)
+
+
 def test_one_character_block_merges_and_a_last_one_before_blanks_is_lost(spark):
     found = tex.blocks(spark.createDataFrame([(1, "A\n\nnext block of text\n\nlast one  ")], "doc_id int, text string")).collect()
     assert [r.raw for r in found] == ["A\n\nnext block of text"]
