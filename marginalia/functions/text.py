@@ -26,6 +26,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text where equal texts are handled once: two hashes with seeds of their own, since
+    among 1e10 texts some share one of 64 bits."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 

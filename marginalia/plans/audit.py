@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..functions import text as X
 from ..operators import review, rollups
 from ..operators.index import CorpusIndex
 from ..operators.overlap import overlap_scores
@@ -22,7 +23,7 @@ def audit_sentences(rows: DataFrame, index: CorpusIndex | None, config: AuditCon
 
     The overlap of a text does not depend on its place, so equal sentences are matched once.
     """
-    texts = rows.select("text").distinct().withColumn("key", F.xxhash64("text"))
+    texts = rows.select("text").distinct().withColumn("key", X.text_key(F.col("text")))
     overlap = texts.select("key", "text").join(overlap_scores(texts, "key", index, config), "key").drop("key")
     return rhetoric_scores(rows, config).join(overlap, "text")
 

@@ -147,13 +147,13 @@ DOC_MATCH = f"{DOC_SENT}, {O.CORPUS}, {O.MATCHES}"
 
 
 def distinct_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return document_sentences(spark, d).select("text").distinct().withColumn("key", F.xxhash64("text"))
+    return document_sentences(spark, d).select("text").distinct().withColumn("key", X.text_key(F.col("text")))
 
 
 @query(f"""{DOC_MATCH} select s.doc_id, s.ord, cast(b.rank as integer) as rank, b.cid as corpus_idx, {O.round6("least(cosine, 1.0)")} as cosine from sent s join uniq u using (text) join best b using (q)""")
 def top_matches(spark: SparkSession, d: str) -> DataFrame:
     """The three best corpus sentences of every sentence. Equal sentences are matched once."""
-    rows = document_sentences(spark, d).select("doc_id", "ord", F.xxhash64("text").alias("key"), "text")
+    rows = document_sentences(spark, d).select("doc_id", "ord", X.text_key(F.col("text")).alias("key"), "text")
     found = benchmark_index(spark, d).top_matches(rows.select("key", "text").dropDuplicates(["key"]), "key")
     return rows.join(found, "key").select("doc_id", "ord", "rank", "corpus_idx", r6("cosine").alias("cosine"))
 
