@@ -238,9 +238,24 @@ def matched_phrases(c: Column, category: str, lexicon: dict[str, list[str]] | No
     return F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.coalesce(low.contains(p), F.lit(False)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to `digits` decimals by its exact binary value, halves to even, as Python and C round it.
+
+    Spark's round() goes by the shortest decimal text instead, and so lifts the double below 0.075 to 0.08. Here x is
+    split in two parts whose products with a small integer are exact, so that the side of the half-way point on which x
+    lies is known. x is finite, and below 2^50 after the shift by `digits`; null stays null.
+    """
+    shift = float(10**digits)
+    wide = x * float(2**27 + 1)
+    high = wide - (wide - x)
+    below = F.floor(x * shift).cast("double")
+    side = (high * (2 * shift) - (2 * below + 1)) + (x - high) * (2 * shift)
+    return F.when(side > 0, below + 1).when(side < 0, below).otherwise(below + F.pmod(below, F.lit(2.0))) / shift
+
+
 def two_decimals(x: Column) -> Column:
-    """x as text with two decimals; half-way cases by the exact binary value, as in C."""
-    return F.format_string("%.2f", F.bround(x.cast("decimal(38,30)"), 2).cast("double"))
+    """x as text with two decimals."""
+    return F.format_string("%.2f", rounded(x, 2))
 
 
 def finding_summary(scores: dict[str, Column], least: float) -> Column:

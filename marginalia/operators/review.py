@@ -58,7 +58,7 @@ BREAKDOWN = {
 
 
 def breakdown(kind: str) -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.round(c, 3).alias("value")) for label, c in BREAKDOWN[kind].items()])
+    return F.array(*[F.struct(F.lit(label).alias("label"), X.rounded(F.col(c), 3).alias("value")) for label, c in BREAKDOWN[kind].items()])
 
 
 def review_rows(audit: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def review_rows(audit: DataFrame, sources: DataFrame | None = None) -> DataFrame
     has = F.coalesce(size > 0, F.lit(False))
     rows = rows.withColumns({
         "line_start": F.when(has, X.line_number(F.col("_source"), start)).otherwise(1), "line_end": F.when(has, X.line_number(F.col("_source"), F.greatest(start, end - 1))).otherwise(1),
-        "overlap_risk": F.round("overlap", 3), "rhetoric_risk": F.round("rhetoric", 3), "has_match": F.exists("matches", lambda m: m["vector"] > 0), "has_trigger": F.size("phrases") > 0,
+        "overlap_risk": X.rounded(F.col("overlap"), 3), "rhetoric_risk": X.rounded(F.col("rhetoric"), 3), "has_match": F.exists("matches", lambda m: m["vector"] > 0), "has_trigger": F.size("phrases") > 0,
     }).drop("_source")
     rows = rows.withColumns({"combined_risk": F.greatest("overlap_risk", "rhetoric_risk"), "is_flagged": (F.col("overlap_risk") >= FLAGGED) | (F.col("rhetoric_risk") >= FLAGGED)})
     lines = F.col("line_start"), F.col("line_end")

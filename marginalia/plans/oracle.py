@@ -1,7 +1,7 @@
 """The SQL that DuckDB checks the queries with. Written apart from the Spark side, from the definitions.
 
 round6() and round_score() are the rounding rules that both sides use: six digits after a nudge that settles ties, and
-three digits of the decimal value for scores that thresholds are applied to.
+three digits of the double's exact value for scores that thresholds are applied to, once it is cut to twelve digits.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def round6(x: str) -> str:
     return f"round({x} + 1e-9, 6)"
 
 
-def round_score(x: str) -> str:
-    return f"cast(round(cast({x} as decimal(20, 12)), 3) as double)"
+def round_score(x: str, digits: int = 3) -> str:
+    return f"cast(printf('%.{digits}f', cast(cast({x} as decimal(20, 12)) as double)) as double)"
 
 
 DOCUMENTS = "select doc_id, 1 as paragraph_index, 'Untitled' as section, '' as subsection, text from documents"

@@ -276,7 +276,7 @@ def section_runs(spark: SparkSession, d: str) -> DataFrame:
     return review.section_runs(tex.sentences(conversation_paragraphs(spark, d, by_role=True))).select("doc_id", "ord", "section", "run")
 
 
-@query(f"""{CONV} select doc_id, sentence_id, text as clean_text, cast(round(cast(overlap as decimal(20, 12)), 4) as double) as plagiarism_risk_score, cast(round(cast(rhetoric as decimal(20, 12)), 4) as double) as ai_rhetoric_risk_score, array_to_string(phrases, '; ') as triggered_phrases, array_to_string(categories, '; ') as triggered_categories, finding_summary, coalesce(match_label, '') as top_match_label, coalesce(match_text, '') as top_match_text, 'Untitled' as section, '' as subsection from fact""")
+@query(f"""{CONV} select doc_id, sentence_id, text as clean_text, {O.round_score("overlap", 4)} as plagiarism_risk_score, {O.round_score("rhetoric", 4)} as ai_rhetoric_risk_score, array_to_string(phrases, '; ') as triggered_phrases, array_to_string(categories, '; ') as triggered_categories, finding_summary, coalesce(match_label, '') as top_match_label, coalesce(match_text, '') as top_match_text, 'Untitled' as section, '' as subsection from fact""")
 def flat_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.flat_table(stable(conversation_audit(spark, d)).facts).withColumns({c: F.coalesce(c, F.lit("")) for c in ("section", "subsection")})
 
@@ -315,8 +315,12 @@ LIT = f"with {O.rhetoric(LITERAL)}"
 
 @query(f"""{LIT} select sentence_id, array_to_string(phrases, '; ') as phrases, array_to_string(categories, '; ') as categories, {", ".join(O.round6(c) + " as " + c for c in CATEGORIES)}, finding_summary, {O.round6("rhetoric")} as rhetoric from rhet""")
 def phrase_hits_literal(spark: SparkSession, d: str) -> DataFrame:
-    rows = rhetoric_scores(tex.sentences(literal_paragraphs(spark)))
-    return rows.select("sentence_id", F.array_join("phrases", "; ").alias("phrases"), F.array_join("categories", "; ").alias("categories"), *[r6(c).alias(c) for c in CATEGORIES], "finding_summary", r6("rhetoric").alias("rhetoric"))
+    return phrase_figures(tex.sentences(literal_paragraphs(spark)), "sentence_id")
+
+
+def phrase_figures(sentences: DataFrame, *ids: str) -> DataFrame:
+    rows = rhetoric_scores(sentences)
+    return rows.select(*ids, F.array_join("phrases", "; ").alias("phrases"), F.array_join("categories", "; ").alias("categories"), *[r6(c).alias(c) for c in CATEGORIES], "finding_summary", r6("rhetoric").alias("rhetoric"))
 
 
 @query(f"""{LIT}, t as (select doc_id, unnest(['balanced_summary', 'empty_transition', 'framework_boilerplate', 'low_specificity', 'unsupported_confidence']) as category, cast(unnest([count_if(balanced_summary >= 0.25), count_if(empty_transition >= 0.25), count_if(framework_boilerplate >= 0.25), count_if(low_specificity >= 0.25), count_if(unsupported_confidence >= 0.25)]) as bigint) as n from rhet group by doc_id) select * from t where n > 0""")
@@ -335,10 +339,15 @@ def boilerplate_discount(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sentence_id", r6(X.boilerplate_discount(F.col("text"), X.tokens(F.col("text")))).alias("discount"))
 
 
-# The same, but for the phrases, over all sentences of all documents.
+# The same over all sentences of all documents.
 DOC = f"with {O.rhetoric(O.DOCUMENTS)}"
 
 
+@query(SQL["phrase_hits_literal"].replace(f"{LIT} select sentence_id", f"{DOC} select doc_id, sentence_id"))
+def phrase_hits_documents(spark: SparkSession, d: str) -> DataFrame:
+    return phrase_figures(document_sentences(spark, d), "doc_id", "sentence_id")
+
+
 @query(SQL["category_totals"].replace(LIT, DOC))
 def category_totals_documents(spark: SparkSession, d: str) -> DataFrame:
     return rollups.category_totals(rhetoric_scores(document_sentences(spark, d)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FLAGGED, SUSPICIOUS
+from ..functions import text as X
 from ..operators.review import tell_overview
 
 if TYPE_CHECKING:
@@ -27,8 +28,8 @@ def flat_table(audit: DataFrame) -> DataFrame:
         "section",
         "subsection",
         F.col("text").alias("clean_text"),
-        F.round("overlap", 4).alias("plagiarism_risk_score"),
-        F.round("rhetoric", 4).alias("ai_rhetoric_risk_score"),
+        X.rounded(F.col("overlap"), 4).alias("plagiarism_risk_score"),
+        X.rounded(F.col("rhetoric"), 4).alias("ai_rhetoric_risk_score"),
         F.array_join("phrases", "; ").alias("triggered_phrases"),
         F.array_join("categories", "; ").alias("triggered_categories"),
         "finding_summary",

@@ -85,3 +85,16 @@ def test_scores_stay_in_bounds(spark):
 def test_line_label(spark):
     row = spark.range(1).select(X.line_label(F.lit(3), F.lit(3)), X.line_label(F.lit(3), F.lit(5), "Context ")).first()
     assert list(row) == ["L3", "Context L3-L5"]
+
+
+def test_rounding_is_pythons(spark):
+    random.seed(5)
+    values = [k / 10**d for d in (2, 3, 4, 5) for k in random.sample(range(10**d), 90)] + [k / 2**j for j in range(1, 12) for k in range(0, 2**j, 37)]
+    values += [random.random() for _ in range(200)] + [0.0, 1.0, 0.075, 0.005, 0.125, 0.0625, 2.675, 1e-9, 5e-5, -0.125, -0.375, -2.675, 123456.78125]
+    values += [math.nextafter(v, up) for v in values for up in (-1, 2)]
+    x = F.col("x")
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *[X.rounded(x, d).alias(f"r{d}") for d in (2, 3, 4)], X.two_decimals(F.abs("x")).alias("t")).collect()
+    assert len(rows) == len(values)
+    for r in rows:
+        assert [r.r2, r.r3, r.r4, r.t] == [round(r.x, 2), round(r.x, 3), round(r.x, 4), f"{abs(r.x):.2f}"], r.x
+    assert on(spark, "x", lambda c: X.rounded(F.when(c == "y", 1.0), 2)) is None
