@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SHOWN_PHRASES, AuditConfig
 from ..functions import text as X
 from .index import CorpusIndex
+from .matching import TYPES, match_column
 
 
 def match_evidence(rows: DataFrame, key: str, index: CorpusIndex, config: AuditConfig) -> DataFrame:
@@ -15,11 +16,14 @@ def match_evidence(rows: DataFrame, key: str, index: CorpusIndex, config: AuditC
 
     phrases: shared n-grams, longest first, equally long ones alphabetically, at most SHOWN_PHRASES; rare looks at all.
     """
+    if index.small:
+        found = rows.select(key, F.posexplode(match_column(index.matcher(config), F.col("text"))).alias("rank", "m"))
+        return found.select(key, (F.col("rank") + 1).alias("rank"), "m.*")
     low, high = config.phrase_ngrams
     parts = lambda c: {"long": X.long_tokens(X.tokens(F.col(c))), "grams": X.phrases(F.col(c), low, high, config.min_tokens_for_overlap)}
     theirs = index.sentences.withColumnRenamed("text", "matched_text")
     theirs = theirs.withColumns({f"c_{k}": v for k, v in parts("matched_text").items()})
-    found = index.top_matches(rows, key, config.max_matches)
+    found = index.joined_matches(rows, key, config.max_matches)
     pairs = found.join(theirs, "corpus_idx").join(rows.select(key, "text").withColumns(parts("text")), key)
     pairs = pairs.withColumns({"lexical": X.lexical_overlap(F.col("long"), F.col("c_long"), config.min_tokens_for_overlap), "shared": F.array_intersect("grams", "c_grams")}).drop("long", "c_long", "grams", "c_grams")
     rarity = 0.5 * (1.0 - F.least(F.lit(1.0), F.coalesce("df", F.lit(1)) / max(index.size, 1)))
@@ -30,20 +34,36 @@ def match_evidence(rows: DataFrame, key: str, index: CorpusIndex, config: AuditC
     )
 
 
-def overlap_scores(rows: DataFrame, key: str, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
-    """(key, vector, lexical, rare, discount, overlap, matches): evidence maxima over the matches, each on its own, the
-    clamped weighted score and the matches in rank order. Without a corpus all are 0 and there are no matches."""
+def no_matches() -> Column:
+    return F.array().cast(f"array<struct<{','.join(f'{f}:{t}' for f, (t, _) in TYPES.items())}>>")
+
+
+def with_overlap(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
+    """Adds to rows (text, ...) vector, lexical, rare, discount, overlap and matches: evidence maxima over the matches,
+    each on its own, the clamped weighted score and the matches in rank order. Without a corpus all are 0 and there are
+    no matches. Rows stay where they are, unless the corpus is too large for the workers: then equal texts, whose overlap
+    does not depend on their place, are matched once."""
     config = config or AuditConfig()
-    none = F.array().cast("array<struct<corpus_idx:bigint,source_path:string,source_label:string,matched_text:string,vector:double,lexical:double,rare:double,phrases:array<string>>>")
     if index is None or not index.size:
-        zeros = {c: F.lit(0.0) for c in ("vector", "lexical", "rare", "discount", "overlap")}
-        return rows.select(key).withColumns({**zeros, "matches": none})
-    evidence = match_evidence(rows, key, index, config)
-    fields = ["corpus_idx", "source_path", "source_label", "matched_text", "vector", "lexical", "rare", "phrases"]
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("m")))), lambda s: s["m"])
-    best = evidence.groupBy(key).agg(F.max("vector").alias("vector"), F.max("lexical").alias("lexical"), F.max("rare").alias("rare"), packed.alias("matches"))
-    out = rows.select(key, X.boilerplate_discount(F.col("text"), X.tokens(F.col("text"))).alias("discount")).join(best, key, "left")
+        return rows.withColumns({**{c: F.lit(0.0) for c in ("vector", "lexical", "rare", "discount", "overlap")}, "matches": no_matches()})
+    if index.small:
+        return scored(rows.withColumn("matches", match_column(index.matcher(config), F.col("text"))), config)
+    texts = rows.select("text").distinct().withColumn("key", X.text_key(F.col("text")))
+    evidence = match_evidence(texts, "key", index, config)
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*TYPES).alias("m")))), lambda s: s["m"])
+    found = texts.join(evidence.groupBy("key").agg(packed.alias("matches")), "key", "left").select("text", F.coalesce("matches", no_matches()).alias("matches"))
+    return scored(rows.join(found, "text"), config)
+
+
+def scored(rows: DataFrame, config: AuditConfig) -> DataFrame:
+    """Adds the figures of rows (text, matches, ...)."""
+    best = {c: F.coalesce(F.array_max(f"matches.{c}"), F.lit(0.0)) for c in ("vector", "lexical", "rare")}
+    rows = rows.withColumns({**best, "discount": X.boilerplate_discount(F.col("text"), X.tokens(F.col("text")))})
     w = config.overlap_weights
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    score = X.clamp(w["vector"] * zero("vector") + w["lexical"] * zero("lexical") + w["rare"] * zero("rare") + w["boilerplate"] * F.col("discount"))
-    return out.select(key, zero("vector").alias("vector"), zero("lexical").alias("lexical"), zero("rare").alias("rare"), "discount", score.alias("overlap"), F.coalesce("matches", none).alias("matches"))
+    score = X.clamp(w["vector"] * F.col("vector") + w["lexical"] * F.col("lexical") + w["rare"] * F.col("rare") + w["boilerplate"] * F.col("discount"))
+    return rows.withColumn("overlap", score)
+
+
+def overlap_scores(rows: DataFrame, key: str, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
+    """(key, vector, lexical, rare, discount, overlap, matches) of rows (key, text), as with_overlap() says."""
+    return with_overlap(rows.select(key, "text"), index, config).select(key, "vector", "lexical", "rare", "discount", "overlap", "matches")

@@ -6,26 +6,19 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions import text as X
 from ..operators import review, rollups
 from ..operators.index import CorpusIndex
-from ..operators.overlap import overlap_scores
+from ..operators.overlap import with_overlap
 from ..operators.rhetoric import rhetoric_scores
 from ..sources.corpus import corpus_sentences
 from ..sources.tex import project_sentences, sentences
 
 
 def audit_sentences(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
-    """The fact table: sentences (doc_id, ord, text, ...) with both scores and their evidence.
-
-    The overlap of a text does not depend on its place, so equal sentences are matched once.
-    """
-    texts = rows.select("text").distinct().withColumn("key", X.text_key(F.col("text")))
-    overlap = texts.select("key", "text").join(overlap_scores(texts, "key", index, config), "key").drop("key")
-    return rhetoric_scores(rows, config).join(overlap, "text")
+    """The fact table: sentences (doc_id, ord, text, ...) with both scores and their evidence."""
+    return with_overlap(rhetoric_scores(rows, config), index, config)
 
 
 @dataclass

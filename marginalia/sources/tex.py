@@ -136,20 +136,21 @@ def raw_fragment(raw: Column, sentence: Column) -> Column:
 def sentences(paragraphs: DataFrame, min_chars: int = 25) -> DataFrame:
     """Sentences of min_chars or more, with ids, their places in the paragraph's text (searched from the end of the one
     before, then from the start; 0 where a line break lies inside), and `ord`, their place in the document."""
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<sentence_index:int,text:string,char_start:int,char_end:int>>").alias("all"))
+    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("all"))
 
     def step(state: Column, item: Column) -> Column:
         text = item["text"]
-        ahead = _find(F.col("clean_text"), text, state["cursor"])
-        start = F.when(ahead >= 0, ahead).otherwise(_find(F.col("clean_text"), text, F.lit(0)))
-        end = start + F.length(text)
-        row = F.struct(item["sentence_index"].alias("sentence_index"), text.alias("text"), F.greatest(start, F.lit(0)).alias("char_start"), F.greatest(end, F.lit(0)).alias("char_end"))
-        return F.struct(F.greatest(end, state["cursor"]).alias("cursor"), F.concat(state["all"], F.array(row)).alias("all"))
+        ahead = X.let(_find(F.col("clean_text"), text, state["cursor"]), lambda at: F.when(at >= 0, at).otherwise(_find(F.col("clean_text"), text, F.lit(0))))
+        return X.let(ahead, lambda at: F.struct(F.greatest(at + F.length(text), state["cursor"]).alias("cursor"), F.concat(state["all"], F.array(at)).alias("all")))
 
     parts = F.transform(X.split_sentences(F.col("clean_text")), lambda s, i: F.struct((i + 1).alias("sentence_index"), s.alias("text")))
-    long = F.filter(parts, lambda p: F.length(p["text"]) >= min_chars)
-    rows = paragraphs.withColumn("parts", long).withColumn("s", F.explode(F.aggregate("parts", zero, step, lambda s: s["all"])))
-    rows = rows.select("doc_id", "paragraph_id", "paragraph_index", "section", "subsection", "source_file", "raw_tex", "start", "end", "s.*")
+    rows = paragraphs.withColumn("parts", F.filter(parts, lambda p: F.length(p["text"]) >= min_chars))
+    # places stand beside the sentences: where nobody asks for them they are not searched
+    rows = rows.withColumn("places", F.aggregate("parts", zero, step, lambda s: s["all"])).select("*", F.posexplode_outer("parts").alias("at", "s"))
+    rows = rows.where(F.col("s").isNotNull())  # a plain explode lets Spark split once more, to drop texts without sentences early
+    start = F.get("places", F.col("at"))
+    places = [F.greatest(start, F.lit(0)).alias("char_start"), F.greatest(start + F.length("s.text"), F.lit(0)).alias("char_end")]
+    rows = rows.select("doc_id", "paragraph_id", "paragraph_index", "section", "subsection", "source_file", "raw_tex", "start", "end", "s.*", *places)
     rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph_index", "sentence_index")) - 1)
     return rows.withColumn("sentence_id", F.format_string("%s.sent_%03d", F.col("paragraph_id"), F.col("sentence_index"))).withColumn("raw_tex_fragment", raw_fragment(F.col("raw_tex"), F.col("text")))
 
