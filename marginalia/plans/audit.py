@@ -23,16 +23,20 @@ def audit_sentences(rows: DataFrame, index: CorpusIndex | None, config: AuditCon
 
 @dataclass
 class Audit:
-    """All relations of an audit of many documents; each is computed when asked for, from one persisted fact table."""
+    """All relations of an audit of many documents; each is computed when asked for, from one persisted fact table.
+
+    keep=False: the fact table is not persisted, so that a relation that reads it once computes only what it shows."""
 
     docs: DataFrame
     rows: DataFrame
     index: CorpusIndex | None = None
     config: AuditConfig | None = None
+    keep: bool = True
 
     @cached_property
     def facts(self) -> DataFrame:
-        return audit_sentences(self.rows, self.index, self.config).persist()
+        facts = audit_sentences(self.rows, self.index, self.config)
+        return facts.persist() if self.keep else facts
 
     @cached_property
     def review_rows(self) -> DataFrame:

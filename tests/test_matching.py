@@ -65,6 +65,12 @@ def test_long_blocks_do_not_change_the_matches(spark, corpus, monkeypatch):
     assert matching.Matcher(rows, AuditConfig()).matches(texts, FIELDS[1:]) == once
 
 
+def test_review_documents_keeps_no_facts(spark, sf):
+    """Cards need neither matches nor a persisted fact table; only the small corpus index stays."""
+    got = plan(Q.review_documents(spark, sf))
+    assert "ArrowEvalPython" not in got and "InMemoryTableScan" not in got, got
+
+
 def test_texts_are_split_once(spark, sf):
     """No filter above the documents splits them a second time, and nobody searches places that are not asked for."""
     got = Q.document_sentences(spark, sf).select("doc_id", "ord", "text")._jdf.queryExecution().optimizedPlan().toString()
