@@ -71,6 +71,11 @@ def test_review_documents_keeps_no_facts(spark, sf):
     assert "ArrowEvalPython" not in got and "InMemoryTableScan" not in got, got
 
 
+def test_score_by_quality_moves_no_features(spark, sf):
+    got = plan(Q.score_by_quality(spark, sf))
+    assert got.count("ArrowEvalPython") == 1 and "corpus_idx" not in "".join(line for line in got.splitlines() if "Exchange" in line), got
+
+
 def test_texts_are_split_once(spark, sf):
     """No filter above the documents splits them a second time, and nobody searches places that are not asked for."""
     got = Q.document_sentences(spark, sf).select("doc_id", "ord", "text")._jdf.queryExecution().optimizedPlan().toString()
