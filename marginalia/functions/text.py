@@ -217,15 +217,19 @@ def longest_first(words: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["w"])
 
 
-def low_specificity(tok: Column) -> Column:
+def low_specificity(tok: Column, content: Column | None = None, abstract: Column | None = None) -> Column:
+    """content, abstract: both ratios, where they are at hand."""
     vague = F.least(F.lit(0.35), share(tok, L.VAGUE_WORDS) * 1.8)
-    gap = F.greatest(F.lit(0.0), 0.7 - content_ratio(tok)) * 0.6
-    return F.when(F.size(tok) > 0, clamp(abstract_ratio(tok) * 1.3 + gap + vague)).otherwise(0.0)
+    gap = F.greatest(F.lit(0.0), 0.7 - (content_ratio(tok) if content is None else content)) * 0.6
+    return F.when(F.size(tok) > 0, clamp((abstract_ratio(tok) if abstract is None else abstract) * 1.3 + gap + vague)).otherwise(0.0)
 
 
-def thinness(tok: Column) -> Column:
+def thinness(tok: Column, content: Column | None = None, abstract: Column | None = None, low: Column | None = None) -> Column:
+    """content, abstract, low: both ratios and low_specificity, where they are at hand."""
+    content, abstract = content_ratio(tok) if content is None else content, abstract_ratio(tok) if abstract is None else abstract
+    low = low_specificity(tok, content, abstract) if low is None else low
     bonus = F.when(starts_with_marker(tok), 0.15).otherwise(0.0) + F.when(F.size(tok) >= 18, 0.1).otherwise(0.0)
-    return F.when(F.size(tok) > 0, clamp((1.0 - content_ratio(tok)) * 0.25 + abstract_ratio(tok) * 0.25 + low_specificity(tok) * 0.35 + bonus)).otherwise(0.0)
+    return F.when(F.size(tok) > 0, clamp((1.0 - content) * 0.25 + abstract * 0.25 + low * 0.35 + bonus)).otherwise(0.0)
 
 
 def classifier(phrase: Column, thin: Column, shift: Column) -> Column:

@@ -22,10 +22,13 @@ def token_features(rows: DataFrame) -> DataFrame:
     """Adds what depends on the sentence alone: tok, length, content_ratio, abstract_ratio, entropy, thinness..."""
     rows = rows.withColumn("tok", X.tokens(F.col("text")))
     tok = F.col("tok")
-    return rows.withColumns({
+    rows = rows.withColumns({
         "length": F.size(tok), "content_ratio": X.content_ratio(tok), "abstract_ratio": X.abstract_ratio(tok), "entropy": X.punctuation_entropy(F.col("text")),
-        "discourse": X.starts_with_marker(tok), "low_specificity": X.low_specificity(tok), "thinness": X.thinness(tok),
+        "discourse": X.starts_with_marker(tok),
     })
+    ratios = F.col("content_ratio"), F.col("abstract_ratio")
+    rows = rows.withColumn("low_specificity", X.low_specificity(tok, *ratios))
+    return rows.withColumn("thinness", X.thinness(tok, *ratios, F.col("low_specificity")))
 
 
 def style(rows: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:

@@ -47,7 +47,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["top_matches"])
+@pytest.mark.parametrize("name", ["top_matches", "sentence_audit"])
 def test_matching_moves_no_sentences(spark, sf, name):
     """Documents are dealt once; no products of features are shuffled, and texts are matched in one place of the plan."""
     got = plan(Q.QUERIES[name](spark, sf))
