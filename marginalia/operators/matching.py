@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..config import SHOWN_PHRASES, AuditConfig
 
 _TOKEN, _PLAIN = re.compile("[a-z0-9']+"), re.compile("[a-z0-9]+")
-#: Bits of a word's id in the number of a feature; cells of a block of cosines.
-_BITS, _CELLS = 21, 1 << 18
+#: Bits of a word's id in the number of a feature; cells of a block of cosines, and its words (a longer sentence is alone).
+_BITS, _CELLS, _WORDS = 21, 1 << 18, 1 << 20
 #: Corpus vectors have at most so many entries where they are handed to the workers.
 SMALL = 500_000
 
@@ -72,9 +72,10 @@ class Matcher:
         c = np.concatenate([np.where(three, a[2:], 0), zero])[: len(a)]
         row = np.concatenate([rows, rows[b > 0], rows[c > 0]])
         parts = [np.concatenate(p) for p in ((a, a[b > 0], a[c > 0]), (0 * a, b[b > 0], b[c > 0]), (0 * a, 0 * b[b > 0], c[c > 0]))]
-        if len(self.words) >> _BITS:
-            raise ValueError(f"a sentence and the corpus have over {1 << _BITS} different words")
         code = parts[0] << 2 * _BITS | parts[1] << _BITS | parts[2]
+        if len(self.words) >> _BITS:  # one sentence of millions of words: those beyond are none of the corpus's, a hash tells them apart
+            mixed = (parts[0] * 0x1E3779B97F4A7C15 + parts[1]) * 0x3F58476D1CE4E5B9 + parts[2]
+            code = np.where(np.maximum.reduce(parts) >> _BITS, mixed | np.int64(-1 << 63), code)
         numbers, inverse = np.unique(code, return_inverse=True)
         key, count = np.unique(row * max(1, len(numbers)) + inverse, return_counts=True)
         return key // max(1, len(numbers)), numbers[key % max(1, len(numbers))], count
@@ -96,8 +97,12 @@ class Matcher:
     def best(self, lists: list[list[str]]) -> Iterator[list[tuple[int, float]]]:
         """For each list the k best (place in the corpus, cosine): by twelve digits, ties to the smaller corpus_idx."""
         step = max(1, _CELLS // self.n)
-        for begin in range(0, len(lists), step):
-            block = self.cosines(lists[begin : begin + step])
+        begin = 0
+        while begin < len(lists):
+            end, words = begin + 1, len(lists[begin])
+            while end < min(len(lists), begin + step) and words + len(lists[end]) <= _WORDS:
+                words, end = words + len(lists[end]), end + 1
+            block, begin = self.cosines(lists[begin:end]), end
             left = np.where(block > 0, np.rint(block * 1e12), -1.0)
             every, found = np.arange(len(block)), []
             for _ in range(min(self.k, self.n)):

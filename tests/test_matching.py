@@ -88,3 +88,16 @@ def test_texts_are_split_once(spark, sf):
     """No filter above the documents splits them a second time, and nobody searches places that are not asked for."""
     got = Q.document_sentences(spark, sf).select("doc_id", "ord", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert got.count("regexp_replace(trim(") == 1 and "aggregate(" not in got, got
+
+
+def test_more_words_than_ids(monkeypatch):
+    """A sentence of more different words than ids fit into a feature's number, and blocks cut by their words."""
+    from marginalia.operators import matching
+
+    corpus = [(i, "p", "l", f"alpha beta gamma delta {w}", f"alpha beta gamma delta {w}") for i, w in enumerate("one two three".split())]
+    texts = ["alpha beta gamma two " + " ".join(f"w{k}" for k in range(5000)) + " beta gamma", "gamma delta two w7 w8 w7 w8", "w1 w2 w3 one"]
+    once = matching.Matcher(corpus, AuditConfig()).matches(texts, FIELDS[1:])
+    monkeypatch.setattr(matching, "_BITS", 4)
+    monkeypatch.setattr(matching, "_WORDS", 5)
+    again = matching.Matcher(corpus, AuditConfig()).matches(texts, FIELDS[1:])
+    assert again.pop("vector") == pytest.approx(once.pop("vector"), rel=1e-12) and again == once
