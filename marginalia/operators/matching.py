@@ -107,7 +107,7 @@ class Matcher:
             every, found = np.arange(len(block)), []
             for _ in range(min(self.k, self.n)):
                 top = left.argmax(axis=1)
-                found.append((top.tolist(), block[every, top].tolist()))
+                found.append((top.tolist(), np.where(left[every, top] >= 0, block[every, top], 0.0).tolist()))
                 left[every, top] = -1.0
             for row in zip(*[zip(*f, strict=True) for f in found], strict=True):
                 yield [(c, min(x, 1.0)) for c, x in row if x > 0]

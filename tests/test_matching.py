@@ -101,3 +101,12 @@ def test_more_words_than_ids(monkeypatch):
     monkeypatch.setattr(matching, "_WORDS", 5)
     again = matching.Matcher(corpus, AuditConfig()).matches(texts, FIELDS[1:])
     assert again.pop("vector") == pytest.approx(once.pop("vector"), rel=1e-12) and again == once
+
+
+def test_fewer_matches_than_asked_for():
+    """The first corpus sentence does not come again where there are no others."""
+    from marginalia.operators.matching import Matcher
+
+    corpus = [(i, "p", "l", w, w) for i, w in enumerate(["alpha beta", "gamma", "delta", "epsilon"])]
+    got = Matcher(corpus, AuditConfig()).matches(["alpha", "gamma alpha", "zeta"], ("corpus_idx",))
+    assert got["n"] == [1, 2, 0] and got["corpus_idx"][0] == 0 and sorted(got["corpus_idx"][1:]) == [0, 1]
