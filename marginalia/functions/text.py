@@ -172,8 +172,18 @@ def clamp(x: Column) -> Column:
 
 def share(tok: Column, words: list[str], inside: bool = True) -> Column:
     """Share of the tokens that are (not) in a list; 0 of none."""
-    hits = F.size(F.filter(tok, lambda t: t.isin(words) if inside else ~t.isin(words)))
-    return F.when(F.size(tok) > 0, hits.cast("double") / F.size(tok)).otherwise(0.0)
+    return ratio(F.size(F.filter(tok, lambda t: t.isin(words) if inside else ~t.isin(words))), tok)
+
+
+def listed(low: Column, words: list[str]) -> Column:
+    """The tokens of a lower-case text that are in a list, with repeats; words are letters, digits and apostrophes."""
+    alone = rf"(?<![a-z0-9'])(?:{'|'.join(sorted(words))})(?![a-z0-9'])"
+    return F.coalesce(F.regexp_extract_all(low, F.lit(alone), 0), F.array().cast("array<string>"))
+
+
+def ratio(n: Column, tok: Column) -> Column:
+    """n as a share of the tokens; 0 of none."""
+    return F.when(F.size(tok) > 0, n.cast("double") / F.size(tok)).otherwise(0.0)
 
 
 def content_ratio(tok: Column) -> Column:
@@ -184,9 +194,14 @@ def abstract_ratio(tok: Column) -> Column:
     return share(tok, L.ABSTRACT_WORDS)
 
 
-def punctuation_entropy(c: Column) -> Column:
-    """Shannon entropy, in bits, of the marks , ; : ( ) of a text."""
-    counts = [(F.length(c) - F.length(F.replace(c, F.lit(m)))).cast("double") for m in ",;:()"]
+def mark_counts(c: Column) -> list[Column]:
+    """How often the marks , ; : ( ) are in a text, each."""
+    return [(F.length(c) - F.length(F.replace(c, F.lit(m)))).cast("double") for m in ",;:()"]
+
+
+def punctuation_entropy(c: Column, counts: list[Column] | None = None) -> Column:
+    """Shannon entropy, in bits, of the marks , ; : ( ) of a text; counts: of the marks, where they are at hand."""
+    counts = mark_counts(c) if counts is None else counts
     total = reduce(Column.__add__, counts)
     terms = [F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0) for n in counts]
     return F.when(total > 0, reduce(Column.__add__, terms)).otherwise(0.0)
@@ -217,9 +232,9 @@ def longest_first(words: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["w"])
 
 
-def low_specificity(tok: Column, content: Column | None = None, abstract: Column | None = None) -> Column:
-    """content, abstract: both ratios, where they are at hand."""
-    vague = F.least(F.lit(0.35), share(tok, L.VAGUE_WORDS) * 1.8)
+def low_specificity(tok: Column, content: Column | None = None, abstract: Column | None = None, vague: Column | None = None) -> Column:
+    """content, abstract, vague: the ratios, where they are at hand."""
+    vague = F.least(F.lit(0.35), (share(tok, L.VAGUE_WORDS) if vague is None else vague) * 1.8)
     gap = F.greatest(F.lit(0.0), 0.7 - (content_ratio(tok) if content is None else content)) * 0.6
     return F.when(F.size(tok) > 0, clamp((abstract_ratio(tok) if abstract is None else abstract) * 1.3 + gap + vague)).otherwise(0.0)
 
@@ -236,10 +251,11 @@ def classifier(phrase: Column, thin: Column, shift: Column) -> Column:
     return clamp(phrase * 0.5 + thin * 0.3 + shift * 0.2)
 
 
-def matched_phrases(c: Column, category: str, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """The category's phrases that occur in the text, as substrings, in alphabetical order."""
-    low, phrases = F.lower(c), sorted(set((lexicon or L.PHRASES)[category]))
-    return F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.coalesce(low.contains(p), F.lit(False)))
+def matched_phrases(low: Column, category: str, lexicon: dict[str, list[str]] | None = None) -> Column:
+    """The category's phrases that occur in the lower-case text, as substrings, in alphabetical order."""
+    phrases, none = sorted(set((lexicon or L.PHRASES)[category])), F.array().cast("array<string>")
+    found = F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.coalesce(low.contains(p), F.lit(False)))
+    return F.when(reduce(Column.__or__, [low.contains(p) for p in phrases], F.lit(False)), found).otherwise(none)  # most texts have none
 
 
 def rounded(x: Column, digits: int) -> Column:

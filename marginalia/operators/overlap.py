@@ -34,24 +34,24 @@ def match_evidence(rows: DataFrame, key: str, index: CorpusIndex, config: AuditC
     )
 
 
-def no_matches() -> Column:
-    return F.array().cast(f"array<struct<{','.join(f'{f}:{t}' for f, (t, _) in TYPES.items())}>>")
+def no_matches(fields: tuple[str, ...] = tuple(TYPES)) -> Column:
+    return F.array().cast(f"array<struct<{','.join(f'{f}:{TYPES[f][0]}' for f in fields)}>>")
 
 
-def with_overlap(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
+def with_overlap(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None, fields: tuple[str, ...] = tuple(TYPES)) -> DataFrame:
     """Adds to rows (text, ...) vector, lexical, rare, discount, overlap and matches: evidence maxima over the matches,
     each on its own, the clamped weighted score and the matches in rank order. Without a corpus all are 0 and there are
     no matches. Rows stay where they are, unless the corpus is too large for the workers: then equal texts, whose overlap
-    does not depend on their place, are matched once."""
+    does not depend on their place, are matched once. fields: what is shown of a match, vector, lexical and rare at least."""
     config = config or AuditConfig()
     if index is None or not index.size:
-        return rows.withColumns({**{c: F.lit(0.0) for c in ("vector", "lexical", "rare", "discount", "overlap")}, "matches": no_matches()})
+        return rows.withColumns({**{c: F.lit(0.0) for c in ("vector", "lexical", "rare", "discount", "overlap")}, "matches": no_matches(fields)})
     if index.small:
-        return scored(rows.withColumn("matches", match_column(index.matcher(config), F.col("text"))), config)
+        return scored(rows.withColumn("matches", match_column(index.matcher(config), F.col("text"), fields)), config)
     texts = rows.select("text").distinct().withColumn("key", X.text_key(F.col("text")))
     evidence = match_evidence(texts, "key", index, config)
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*TYPES).alias("m")))), lambda s: s["m"])
-    found = texts.join(evidence.groupBy("key").agg(packed.alias("matches")), "key", "left").select("text", F.coalesce("matches", no_matches()).alias("matches"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("m")))), lambda s: s["m"])
+    found = texts.join(evidence.groupBy("key").agg(packed.alias("matches")), "key", "left").select("text", F.coalesce("matches", no_matches(fields)).alias("matches"))
     return scored(rows.join(found, "text"), config)
 
 

@@ -20,14 +20,18 @@ STYLE = ("length", "content_ratio", "entropy")
 
 def token_features(rows: DataFrame) -> DataFrame:
     """Adds what depends on the sentence alone: tok, length, content_ratio, abstract_ratio, entropy, thinness..."""
-    rows = rows.withColumn("tok", X.tokens(F.col("text")))
-    tok = F.col("tok")
+    # words of the lists are picked by one pattern each: a lambda over all tokens is far dearer
+    rows = rows.withColumn("_low", F.lower("text"))
+    rows = rows.withColumns({"tok": X.tokens(F.col("_low")), "_stop": F.size(X.listed(F.col("_low"), L.STOPWORDS)), "_abstract": X.listed(F.col("_low"), L.ABSTRACT_WORDS)}).drop("_low")
+    marks = {f"_mark{k}": n for k, n in enumerate(X.mark_counts(F.col("text")))}  # columns, since the entropy names each many times
+    rows = rows.withColumns(marks)
+    tok, vague = F.col("tok"), F.size(F.filter("_abstract", lambda t: t.isin(L.VAGUE_WORDS)))
     rows = rows.withColumns({
-        "length": F.size(tok), "content_ratio": X.content_ratio(tok), "abstract_ratio": X.abstract_ratio(tok), "entropy": X.punctuation_entropy(F.col("text")),
-        "discourse": X.starts_with_marker(tok),
-    })
+        "length": F.size(tok), "content_ratio": X.ratio(F.size(tok) - F.col("_stop"), tok), "abstract_ratio": X.ratio(F.size("_abstract"), tok), "entropy": X.punctuation_entropy(F.col("text"), [F.col(n) for n in marks]),
+        "discourse": X.starts_with_marker(tok), "_vague": X.ratio(vague, tok),
+    }).drop("_stop", "_abstract", *marks)
     ratios = F.col("content_ratio"), F.col("abstract_ratio")
-    rows = rows.withColumn("low_specificity", X.low_specificity(tok, *ratios))
+    rows = rows.withColumn("low_specificity", X.low_specificity(tok, *ratios, F.col("_vague"))).drop("_vague")
     return rows.withColumn("thinness", X.thinness(tok, *ratios, F.col("low_specificity")))
 
 
@@ -36,16 +40,19 @@ def style(rows: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame
     (1 less a fortieth of the variance of lengths with the neighbours'); both 0 without neighbours."""
     w = W.partitionBy(doc).orderBy(order)
     near = [F.lag(F.struct(*STYLE), d).over(w).alias(f"_p{d}") for d in (2, 1)] + [F.lead(F.struct(*STYLE), d).over(w).alias(f"_n{d}") for d in (1, 2)]
-    rows = rows.select("*", *near).withColumn("_near", F.array_compact(F.array("_p2", "_p1", "_n1", "_n2"))).drop("_p2", "_p1", "_n1", "_n2")
-    n = F.size("_near")
-    total = lambda c: F.aggregate("_near", F.lit(0.0), lambda a, x: a + x[c].cast("double"))
-    gaps = [F.col(c).cast("double") - total(c) / n for c in STYLE]
-    shift = F.least(F.lit(1.0), F.sqrt(reduce(Column.__add__, [g * g for g in gaps])) / 18.0)
-    lengths = F.concat(F.transform("_near", lambda x: x["length"].cast("double")), F.array(F.col("length").cast("double")))
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / (n + 1)
-    variance = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n + 1)
+    rows, names = rows.select("*", *near), ["_p2", "_p1", "_n1", "_n2"]
+    # sums are written out, with 0 for a neighbour that is not there: lambdas over a list of neighbours are dearer
+    add = lambda terms: reduce(Column.__add__, terms)
+    total = lambda c: add([F.coalesce(F.col(p)[c].cast("double"), F.lit(0.0)) for p in names])
+    rows = rows.withColumns({"_n": add([F.col(p).isNotNull().cast("int") for p in names]), **{f"_sum_{c}": total(c) for c in STYLE}})
+    n, own = F.col("_n"), F.col("length").cast("double")
+    rows = rows.withColumns({"_mean": (F.col("_sum_length") + own) / (n + 1), **{f"_gap_{c}": F.col(c).cast("double") - F.col(f"_sum_{c}") / F.greatest(n, F.lit(1)) for c in STYLE}})
+    shift = F.least(F.lit(1.0), F.sqrt(add([F.col(f"_gap_{c}") * F.col(f"_gap_{c}") for c in STYLE])) / 18.0)
+    off = [F.col(p)["length"].cast("double") - F.col("_mean") for p in names]
+    variance = (add([F.coalesce(x * x, F.lit(0.0)) for x in off]) + (own - F.col("_mean")) * (own - F.col("_mean"))) / (n + 1)
     smooth = X.clamp(1.0 - F.least(variance / 40.0, F.lit(1.0)))
-    return rows.withColumns({"style_shift": F.when(n > 0, shift).otherwise(0.0), "smoothness": F.when(n > 0, smooth).otherwise(0.0)}).drop("_near")
+    rows = rows.withColumns({"style_shift": F.when(n > 0, shift).otherwise(0.0), "smoothness": F.when(n > 0, smooth).otherwise(0.0)})
+    return rows.drop(*names, "_n", "_mean", *[f"_{k}_{c}" for k in ("sum", "gap") for c in STYLE])
 
 
 def phrase_hits(rows: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
@@ -57,7 +64,8 @@ def phrase_hits(rows: DataFrame, lexicon: dict[str, list[str]] | None = None) ->
         none = F.array().cast("array<string>")
         return rows.withColumns({"phrases": none, "categories": none, **{c: F.lit(0.0) for c in CATEGORIES[:-1]}})
     names = {c: f"_hits{k}" for k, c in enumerate(lexicon)}
-    rows = rows.withColumns({n: X.matched_phrases(F.col("text"), c, lexicon) for c, n in names.items()})
+    rows = rows.withColumn("_low", F.lower("text"))
+    rows = rows.withColumns({n: X.matched_phrases(F.col("_low"), c, lexicon) for c, n in names.items()}).drop("_low")
     score = lambda c: F.least(F.lit(1.0), F.size(names[c]) / 2.0) if c in names else F.lit(0.0)
     found = F.array(*[F.when(F.size(n) > 0, F.lit(L.CANONICAL.get(c, c))) for c, n in names.items()])
     return rows.withColumns({

@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from ..config import AuditConfig
 from ..operators import review, rollups
 from ..operators.index import CorpusIndex
+from ..operators.matching import TYPES
 from ..operators.overlap import with_overlap
 from ..operators.rhetoric import rhetoric_scores
 from ..sources.corpus import corpus_sentences
 from ..sources.tex import project_sentences, sentences
 
 
-def audit_sentences(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None) -> DataFrame:
-    """The fact table: sentences (doc_id, ord, text, ...) with both scores and their evidence."""
-    return with_overlap(rhetoric_scores(rows, config), index, config)
+def audit_sentences(rows: DataFrame, index: CorpusIndex | None, config: AuditConfig | None = None, fields: tuple[str, ...] = tuple(TYPES)) -> DataFrame:
+    """The fact table: sentences (doc_id, ord, text, ...) with both scores and their evidence, `fields` of each match."""
+    return with_overlap(rhetoric_scores(rows, config), index, config, fields)
 
 
 @dataclass

@@ -1,11 +1,16 @@
 """The matches that workers find against a small corpus, held against the join and against plain definitions."""
 
+import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.config import AuditConfig
+from marginalia.functions import text as X
 from marginalia.operators.index import CorpusIndex
 from marginalia.operators.overlap import match_evidence, with_overlap
+from marginalia.operators.rhetoric import style, token_features
 from marginalia.plans import queries as Q
 
 FIELDS = ("rank", "corpus_idx", "source_path", "source_label", "matched_text", "vector", "lexical", "rare", "phrases")
@@ -110,3 +115,57 @@ def test_fewer_matches_than_asked_for():
     corpus = [(i, "p", "l", w, w) for i, w in enumerate(["alpha beta", "gamma", "delta", "epsilon"])]
     got = Matcher(corpus, AuditConfig()).matches(["alpha", "gamma alpha", "zeta"], ("corpus_idx",))
     assert got["n"] == [1, 2, 0] and got["corpus_idx"][0] == 0 and sorted(got["corpus_idx"][1:]) == [0, 1]
+
+
+def test_score_by_quality_audits_labelled_documents_once(spark, sf):
+    """Documents that no label names are not audited, a row a document meets the labels, and only scores of matches move."""
+    got = plan(Q.score_by_quality(spark, sf))
+    assert "LeftSemi" in got and "distinct doc_id" not in got and "matched_text" not in got, got
+
+
+def test_score_by_quality_on_odd_labels(spark, tmp_path):
+    """No label, two qualities, the same label twice, no quality, rows that share a doc_id, no text, no id."""
+    one, two = "Moreover, the robust framework plays a crucial role (as we said). It is 'plain' here; two commas, and so on, it goes.", "Another sentence of the benchmark that some of the documents share, as it is."
+    docs = [(1, one), (2, f"{two} {one}"), (3, two), (4, one), (4, two), (5, None), (6, one), (None, one), (7, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1), (2, 0), (3, 1), (3, 1), (4, 0), (5, 1), (6, None), (None, 1), (7, 1), (9, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, two), (2, f"{one} It has nothing else of note in it.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(tuple, Q.score_by_quality(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(Q.SQL["score_by_quality"]).fetchall()
+    assert got == sorted(want, key=str) and [r[:3] for r in got] == [(0, 2, 6), (1, 2, 4), (None, 1, 2)]
+
+
+def test_figures_of_words_are_those_of_token_lists(spark):
+    """Listed words are counted as tokens, not as parts of tokens; the neighbours' sums hold with none to four of them."""
+    texts = ["The the-a is's 'a a' IT_and it.The novel NOVEL novels x-novel demonstrates", "", "İt is ſo, (it: is); a, b", "ΑΒΣ of\nthe\tto", "was"] * 2 + [None]
+    rows = spark.createDataFrame([(d, k, t) for d, n in enumerate((1, 2, 3, 11)) for k, t in enumerate(texts[:n])], "doc_id int, ord int, text string")
+    tok = X.tokens(F.col("text"))
+    plain = {"content_ratio": X.content_ratio(tok), "abstract_ratio": X.abstract_ratio(tok), "entropy": X.punctuation_entropy(F.col("text")), "low_specificity": X.low_specificity(tok), "thinness": X.thinness(tok)}
+    got = style(token_features(rows)).select("*", *[c.alias(f"{n}_plain") for n, c in plain.items()]).orderBy("doc_id", "ord").collect()
+    for r in got:
+        assert [r[n] for n in plain] == [r[f"{n}_plain"] for n in plain], r.text
+        near = [q for q in got if q.doc_id == r.doc_id and 0 < abs(q.ord - r.ord) <= 2]
+        gaps = [r[c] - sum(q[c] for q in near) / len(near) for c in ("length", "content_ratio", "entropy")] if near and r.entropy is not None and all(q.entropy is not None for q in near) else []
+        if gaps:
+            assert r.style_shift == pytest.approx(min(1, math.sqrt(sum(g * g for g in gaps)) / 18), abs=1e-12)
+        lengths = [q.length for q in (*near, r)]
+        mean = sum(lengths) / len(lengths)
+        assert r.smoothness == pytest.approx(max(0, 1 - sum((n - mean) ** 2 for n in lengths) / len(lengths) / 40) if near else 0, abs=1e-12)
+
+
+def test_words_are_forgotten_in_time(monkeypatch):
+    """Ids of words that the corpus lacks are kept between blocks, up to a limit; matches are the same."""
+    from marginalia.operators import matching
+
+    corpus = [(i, "p", "l", f"alpha beta gamma delta {w}", f"alpha beta gamma delta {w}") for i, w in enumerate("one two three".split())]
+    texts = [f"alpha w{k} beta gamma delta w{k + 1} {w}" for k in range(40) for w in ("one", "it's")]
+    once = matching.Matcher(corpus, AuditConfig()).matches(texts, FIELDS[1:])
+    monkeypatch.setattr(matching, "_CELLS", 1)
+    monkeypatch.setattr(matching, "_KEPT", 5)
+    few = matching.Matcher(corpus, AuditConfig())
+    again = few.matches(texts, FIELDS[1:])
+    assert len(few.words) < 12 and len(few.words.long) == len(few.words) + 1
+    assert again.pop("vector") == pytest.approx(once.pop("vector"), rel=1e-12) and again == once
